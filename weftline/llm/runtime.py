@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(make: Callable[[], DataFrame]) -> DataFrame:
+    """Cut the lineage of make() by a checkpoint in the shared folder.
+
+    The plan is made inside, so that nothing refers to it afterwards and Spark can drop its shuffle
+    files; the collection only asks the driver's cleaner to look now rather than at some later time.
+    """
+    df = make()
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df, make
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

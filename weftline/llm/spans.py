@@ -42,7 +42,7 @@ def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[k.Rol
     return k.byte_rolling(data), offsets
 
 
-def run_rows(by_words: bool, gram: int, length: int, with_content: bool) -> Callable:
+def run_rows(by_words: bool, gram: int, length: int, with_place: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -50,11 +50,10 @@ def run_rows(by_words: bool, gram: int, length: int, with_content: bool) -> Call
                 rolling, bounds = _units(data, offsets, by_words)
                 grams = rolling.grams(gram)
                 owner, a, b, p = k.runs_by_minimizer(grams, bounds, gram, length)
-                place = (a - bounds[owner]) << (KEY_BITS + COUNT_BITS) | (b - a + 1) << KEY_BITS | keys[first + owner]
                 columns = [pa.array(grams[p].view(np.int64)), ids.take(pa.array(first + owner))]
-                if with_content:
-                    columns = [columns[0], pa.array(rolling.of(a, b + length).view(np.int64)), columns[1], pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "doc_id", "place"] if with_content else ["anchor", "doc_id"])
+                if with_place:
+                    columns.append(pa.array((a - bounds[owner]) << (KEY_BITS + COUNT_BITS) | (b - a + 1) << KEY_BITS | keys[first + owner]))
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "place"][: len(columns)])
 
     return rows
 
@@ -94,26 +93,56 @@ def with_key(runs: DataFrame) -> DataFrame:
     return runs.withColumn("text_key", F.col("place").bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
 
 
-def candidates(docs: DataFrame, by_words: bool, gram: int, length: int, across: bool) -> DataFrame:
-    """One row for each text with a run whose minimizer is found elsewhere: (doc_id, text_key, packed, runs), checkpointed.
-
-    `across`: elsewhere is another document; else any other run, in the same document too.
-    """
+def _shared_places(docs: DataFrame, by_words: bool, gram: int, length: int, across: bool) -> DataFrame:
     narrow = docs.mapInArrow(run_rows(by_words, gram, length, False), "anchor long, doc_id long")
     if across:
         found = narrow.where("doc_id is not null").groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     else:
         found = narrow.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = docs.mapInArrow(run_rows(by_words, gram, length, True), RUN_SCHEMA)
+    runs = docs.mapInArrow(run_rows(by_words, gram, length, True), "anchor long, doc_id long, place long")
     # each anchor is one row of `found`, so the join emits each run once at most; AQE splits hot anchors
     shared = with_key(runs.join(found.select("anchor").hint("shuffle_hash"), "anchor"))
-    per_doc = shared.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "content", "place")).alias("runs"))
+    return shared.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+
+
+def _with_text(docs: DataFrame, places: DataFrame) -> DataFrame:
     packed = docs.mapInArrow(_packed, "doc_id long, text_key long, packed binary")
-    return cut(packed.join(per_doc, same_doc(packed, per_doc)).select(packed["doc_id"], packed["text_key"], "packed", "runs"))
+    return packed.join(places, same_doc(packed, places)).select(packed["doc_id"], packed["text_key"], "packed", "places")
+
 
+def candidates(docs: DataFrame, by_words: bool, gram: int, length: int, across: bool) -> DataFrame:
+    """One row for each text with a run whose minimizer is found elsewhere: (doc_id, text_key, packed, places), checkpointed.
 
-def exploded(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "text_key", F.explode("runs").alias("run")).select("doc_id", "text_key", "run.*")
+    `across`: elsewhere is another document; else any other run, in the same document too.
+    Two checkpoints, so that the wide shuffles of the first half are gone before texts move.
+    """
+    places = cut(lambda: _shared_places(docs, by_words, gram, length, across))
+    return cut(lambda: _with_text(docs, places))
+
+
+def runs_of(found: DataFrame, by_words: bool, gram: int, length: int) -> DataFrame:
+    """(anchor, content, doc_id, place) of the runs of candidates()."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            anchors, contents, counts, places = [], [], [], []
+            for packed, chosen in zip(batch.column(1), batch.column(2), strict=True):
+                data = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
+                rolling, bounds = _units(data, np.array([0, len(data)]), by_words)
+                grams = rolling.grams(gram)
+                _, a, b, p = k.runs_by_minimizer(grams, bounds, gram, length)
+                chosen = np.sort(chosen.values.to_numpy(zero_copy_only=False))
+                at = np.searchsorted(a, chosen >> (KEY_BITS + COUNT_BITS))
+                anchors.append(grams[p[at]].view(np.int64))
+                contents.append(rolling.of(a[at], b[at] + length).view(np.int64))
+                places.append(chosen)
+                counts.append(len(chosen))
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, contents, places)]
+            yield pa.RecordBatch.from_arrays([flat[0], flat[1], batch.column(0).take(owner), flat[2]], names=["anchor", "content", "doc_id", "place"])
+
+    return found.select("doc_id", "packed", "places").mapInArrow(rows, RUN_SCHEMA)
 
 
 def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int], object], kind: str) -> DataFrame:

@@ -42,11 +42,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, n_spans, kept_sha256, spans) of each document; spans in words, end excluded."""
     docs = spans.keyed(docs, id_col, text_col)
     found = spans.candidates(docs, True, gram, window, across=True)
-    runs = spans.exploded(found)
+    runs = spans.runs_of(found, True, gram, window)
     # one row for each path piece, with its first source
     pieces = runs.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("anchor", "content", "first.doc_id", "first.place")
-    branching = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 and lo < hi").select("anchor", "lo")
-    # a piece that starts in the smallest document of its minimizer can't be covered by another
+    branching = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
     opened = spans.fetched(found, pieces.join(branching.hint("shuffle_hash"), "anchor").select(*spans.RUN_SCHEMA.replace(" long", "").split(", ")), _edges(window), "array<long>")
     sources = pieces.select("anchor", "content", "doc_id")
     edges = opened.join(sources, ["anchor", "content"]).select("anchor", "content", "doc_id", F.posexplode("made").alias("at", "edge"))
@@ -58,7 +57,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.array(F.struct(first.alias("a"), count.alias("n")))
     part = F.transform(F.col("at"), lambda x: F.struct((first + x).alias("a"), F.lit(1).cast("long").alias("n")))
     hits = (
-        runs.join(sources, ["anchor", "content"])
+        spans.with_key(runs)
+        .join(sources, ["anchor", "content"])
         .where("doc_id > source or at is not null")
         .select("doc_id", "text_key", F.when(F.col("doc_id") > F.col("source"), whole).otherwise(part).alias("hits"))
         .groupBy("doc_id", "text_key")
