@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from weftline.llm.substring_dedup import op3_substring_dedup
+from weftline.llm.suffix_dedup import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {}
