@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import kernels as k
@@ -157,21 +157,30 @@ def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int],
             anchors, contents, made = [], [], []
             for packed, want in zip(batch.column(0), batch.column(1), strict=True):
                 raw = unpack.decompress(packed.as_py())
-                want = want.as_py()
-                places = np.array([x["place"] for x in want], dtype=np.int64)
-                made += make(raw, places >> (KEY_BITS + COUNT_BITS), (places >> KEY_BITS) & ((1 << COUNT_BITS) - 1))
-                anchors += [x["anchor"] for x in want]
-                contents += [x["content"] for x in want]
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(made, field)], names=["anchor", "content", "made"])
+                anchor, content, place = (want.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                made += make(raw, place >> (KEY_BITS + COUNT_BITS), (place >> KEY_BITS) & ((1 << COUNT_BITS) - 1))
+                anchors.append(anchor)
+                contents.append(content)
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, contents)]
+            yield pa.RecordBatch.from_arrays([*flat, pa.array(made, field)], names=["anchor", "content", "made"])
 
     joined = texts.join(wanted, same_doc(texts, wanted)).select("packed", "wanted")
     return joined.mapInArrow(rows, f"anchor long, content long, made {kind}")
 
 
+def hits_of(runs: DataFrame, verdict: DataFrame, whole: Column) -> DataFrame:
+    """(doc_id, text_key, hits): all windows of a run where `whole` holds, else the windows that its verdict's `at` lists."""
+    whole_run = F.array(F.shiftright("place", KEY_BITS))
+    first = F.shiftright("place", KEY_BITS + COUNT_BITS)
+    part = F.transform(F.col("at"), lambda x: F.shiftleft(first + x, COUNT_BITS) + F.lit(1))
+    hit = with_key(runs).join(verdict, ["anchor", "content"]).where(whole | F.col("at").isNotNull())
+    return hit.select("doc_id", "text_key", F.when(whole, whole_run).otherwise(part).alias("hits")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
 def removed(found: DataFrame, verdicts: DataFrame, length: int, by_words: bool, keep_text: bool) -> DataFrame:
     """Per candidate text: (doc_id, text_key, n_removed, n_spans, sha, spans[, kept]).
 
-    `verdicts`: (doc_id, text_key, hits), hits an array of (first window, number of windows) that go.
+    `verdicts`: (doc_id, text_key, hits), hits an array of first window << 8 | number of windows that go.
     """
     texts = found.select("doc_id", "text_key", "packed")
     joined = texts.join(verdicts, same_doc(texts, verdicts)).select(texts["doc_id"], texts["text_key"], "packed", "hits")
@@ -182,8 +191,9 @@ def removed(found: DataFrame, verdicts: DataFrame, length: int, by_words: bool,
             out: list[list] = [[], [], [], [], []]
             for packed, hits in zip(batch.column(2), batch.column(3), strict=True):
                 raw = unpack.decompress(packed.as_py())
-                hits = np.array([(x["a"], x["n"]) for x in hits.as_py()], dtype=np.int64).reshape(-1, 2)
-                begin, end = k.spans_of(hits[:, 0], hits[:, 0] + hits[:, 1] - 1 + length)
+                hits = hits.values.to_numpy(zero_copy_only=False)
+                first = hits >> COUNT_BITS
+                begin, end = k.spans_of(first, first + (hits & ((1 << COUNT_BITS) - 1)) - 1 + length)
                 if by_words:
                     words = raw.split()
                     kept, at = [], 0

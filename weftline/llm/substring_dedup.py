@@ -18,12 +18,12 @@ empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import kernels as k
 from weftline.llm import spans
+from weftline.llm.runtime import cut
 
 WINDOW = 13
 GRAM = 5
@@ -44,7 +44,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = spans.candidates(docs, True, gram, window, across=True)
     runs = spans.runs_of(found, True, gram, window)
     # one row for each path piece, with its first source
-    pieces = runs.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("anchor", "content", "first.doc_id", "first.place")
+    first = F.min(F.struct("doc_id", "place")).alias("first")
+    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(first).select("anchor", "content", "first.doc_id", "first.place"))
     branching = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
     opened = spans.fetched(found, pieces.join(branching.hint("shuffle_hash"), "anchor").select(*spans.RUN_SCHEMA.replace(" long", "").split(", ")), _edges(window), "array<long>")
     sources = pieces.select("anchor", "content", "doc_id")
@@ -52,18 +53,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = edges.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("edge", "least")
     covered = edges.join(least.hint("shuffle_hash"), "edge").where("least < doc_id").groupBy("anchor", "content").agg(F.sort_array(F.collect_set("at")).alias("at"))
     sources = sources.withColumnRenamed("doc_id", "source").join(covered, ["anchor", "content"], "left")
-    first = F.shiftright("place", spans.KEY_BITS + spans.COUNT_BITS)
-    count = F.shiftright("place", spans.KEY_BITS).bitwiseAND(F.lit((1 << spans.COUNT_BITS) - 1))
-    whole = F.array(F.struct(first.alias("a"), count.alias("n")))
-    part = F.transform(F.col("at"), lambda x: F.struct((first + x).alias("a"), F.lit(1).cast("long").alias("n")))
-    hits = (
-        spans.with_key(runs)
-        .join(sources, ["anchor", "content"])
-        .where("doc_id > source or at is not null")
-        .select("doc_id", "text_key", F.when(F.col("doc_id") > F.col("source"), whole).otherwise(part).alias("hits"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    )
+    hits = spans.hits_of(runs, sources, F.coalesce(F.col("doc_id") > F.col("source"), F.lit(False)))
     gone = spans.removed(found, hits, window, True, False).dropDuplicates(["doc_id", "text_key"])
     every = docs.mapInArrow(spans.digests(True, True), "doc_id long, text_key long, n_units long, sha string")
     return every.join(gone, spans.same_doc(every, gone), "left").select(

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import kernels as k
 from weftline.llm import spans
+from weftline.llm.runtime import cut
 
 WINDOW = 200
 GRAM = 64
@@ -174,34 +175,24 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = spans.keyed(docs, id_col, text_col)
     found = spans.candidates(docs, False, gram, window, across=False)
     runs = spans.runs_of(found, False, gram, window)
-    pieces = runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    first = F.min(F.struct("doc_id", "place")).alias("first")
+    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "content", "n", "first.doc_id", "first.place"))
     several = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     need = pieces.join(several.hint("shuffle_hash"), "anchor")
     parts = F.ceil(F.col("pieces") / F.lit(shard_runs)).cast("long")
-    made = spans.fetched(found, need.select("anchor", "content", "first.doc_id", "first.place"), _bytes(window), "binary")
+    made = spans.fetched(found, need.select("anchor", "content", "doc_id", "place"), _bytes(window), "binary")
     shards = max(1, -(-need.count() // shard_runs))
     dealt = (
         made.join(need.select("anchor", "content", parts.alias("parts")), ["anchor", "content"])
         .withColumn("shard", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
         .withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("content"), "parts")).otherwise(F.lit(0).cast("long")))
     )
-    sorted_out = dealt.groupBy("shard", "part").applyInPandas(_shard(window), "anchor long, content long, at array<long>, range long, block binary")
+    sorted_out = cut(lambda: dealt.groupBy("shard", "part").applyInPandas(_shard(window), "anchor long, content long, at array<long>, range long, block binary"))
     merged = sorted_out.where("block is not null").groupBy("anchor", "range").applyInPandas(_merge, "anchor long, content long, at array<long>")
     singles = sorted_out.where("at is not null").select("anchor", "content", "at").unionByName(merged)
     singles = singles.groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    # a run is worth a row if it is repeated as a whole, or some of its windows are
     verdict = pieces.select("anchor", "content", "n").join(singles, ["anchor", "content"], "left").where("n > 1 or at is not null")
-    first = F.shiftright("place", spans.KEY_BITS + spans.COUNT_BITS)
-    count = F.shiftright("place", spans.KEY_BITS).bitwiseAND(F.lit((1 << spans.COUNT_BITS) - 1))
-    whole = F.array(F.struct(first.alias("a"), count.alias("n")))
-    part = F.transform(F.col("at"), lambda x: F.struct((first + x).alias("a"), F.lit(1).cast("long").alias("n")))
-    hits = (
-        spans.with_key(runs)
-        .join(verdict, ["anchor", "content"])
-        .select("doc_id", "text_key", F.when(F.col("n") > 1, whole).otherwise(part).alias("hits"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    )
+    hits = spans.hits_of(runs, verdict, F.col("n") > 1)
     return docs, spans.removed(found, hits, window, False, keep_text).dropDuplicates(["doc_id", "text_key"])
 
 
