@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from weftline.llm import decontaminate
+from weftline.llm.decontaminate import op5_benchmark_containment
+from weftline.llm.fm_quality import op9_factorisation_machine
+from weftline.llm.llr_quality import op2_llr_quality
+from weftline.llm.packing import op6_hierarchical_packing
 from weftline.llm.substring_dedup import op3_substring_dedup
 from weftline.llm.suffix_dedup import op10_suffix_array_dedup
+from weftline.llm.toxicity import op1_toxicity_ordinal
+from weftline.llm.url_rules import op7_url_association_rules
+from weftline.llm.warc import op8_warc_salvage
 
 QUERIES: dict[str, Callable] = {
+    "op1_toxicity_ordinal": op1_toxicity_ordinal,
+    "op2_llr_quality": op2_llr_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_benchmark_containment": op5_benchmark_containment,
+    "op6_hierarchical_packing": op6_hierarchical_packing,
+    "op7_url_association_rules": op7_url_association_rules,
+    "op8_warc_salvage": op8_warc_salvage,
+    "op9_factorisation_machine": op9_factorisation_machine,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_benchmark_containment": decontaminate.SQL}
