@@ -7,6 +7,7 @@ from collections.abc import Callable
 from weftline.llm import decontaminate
 from weftline.llm.decontaminate import op5_benchmark_containment
 from weftline.llm.fm_quality import op9_factorisation_machine
+from weftline.llm.jaccard_join import op4_ngram_jaccard_join
 from weftline.llm.llr_quality import op2_llr_quality
 from weftline.llm.packing import op6_hierarchical_packing
 from weftline.llm.substring_dedup import op3_substring_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op1_toxicity_ordinal": op1_toxicity_ordinal,
     "op2_llr_quality": op2_llr_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_containment": op5_benchmark_containment,
     "op6_hierarchical_packing": op6_hierarchical_packing,
     "op7_url_association_rules": op7_url_association_rules,

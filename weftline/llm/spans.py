@@ -78,7 +78,7 @@ def digests(by_words: bool, join_words: bool) -> Callable:
     return rows
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = pa.array([press.compress((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())
@@ -106,7 +106,7 @@ def _shared_places(docs: DataFrame, by_words: bool, gram: int, length: int, acro
 
 
 def _with_text(docs: DataFrame, places: DataFrame) -> DataFrame:
-    packed = docs.mapInArrow(_packed, "doc_id long, text_key long, packed binary")
+    packed = docs.mapInArrow(pack_texts, "doc_id long, text_key long, packed binary")
     return packed.join(places, same_doc(packed, places)).select(packed["doc_id"], packed["text_key"], "packed", "places")
 
 
