@@ -1,0 +1,72 @@
+"""JSONL transcripts: file listing, lines, and lines as typed events."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.functions.text import flattened, truncated
+from weftline.functions.times import DEFAULT_ZONE, iso_week
+
+TEXT_BYTES = 8000
+_MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("model", T.StringType()), T.StructField("content", T.StringType())])
+LINE = T.StructType(
+    [T.StructField(x, T.StringType()) for x in ("uuid", "parentUuid", "type", "timestamp", "sessionId", "cwd", "gitBranch", "summary", "content")]
+    + [T.StructField("isSidechain", T.BooleanType()), T.StructField("message", _MESSAGE)]
+)
+
+
+def lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, line_no, value) of all *.jsonl files below root, folders named memory left out; an unfinished last line is held back."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+    text = F.col("content").cast("string")
+    whole = F.substring_index(text, "\n", -1)
+    done = F.when(F.length(whole) == 0, text).otherwise(F.expr("substring(cast(content as string), 1, length(cast(content as string)) - length(substring_index(cast(content as string), '\n', -1)))"))
+    kept = files.where(~F.col("path").contains("/memory/")).select("path", F.posexplode(F.split(done, "\n")).alias("at", "value"))
+    return kept.where("value <> ''").select("path", (F.col("at") + 1).cast("long").alias("line_no"), "value")
+
+
+def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
+    """Typed events of raw lines (path, line_no, value); lines without uuid or a valid time are left out."""
+    line = F.from_json(F.trim("value"), LINE, {"mode": "PERMISSIVE"})
+    df = raw.where(F.trim("value").startswith("{")).withColumn("j", line)
+    ts = F.try_to_timestamp(F.col("j.timestamp"))
+    df = df.withColumn("ts", F.date_trunc("millisecond", ts).cast("timestamp_ntz")).where((F.coalesce("j.uuid", F.lit("")) != "") & F.col("ts").isNotNull())
+    message = flattened(as_json("j.message.content"))
+    df = df.withColumn("m", message).withColumn("c", flattened(as_json("j.content")))
+    filled = F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in ("m.text", "j.summary", "c.text")], F.lit(""))
+    text = lambda x: F.coalesce(F.col(x), F.lit(""))
+    return df.select(
+        "path",
+        F.col("j.uuid").alias("uuid"),
+        text("j.parentUuid").alias("parent_uuid"),
+        session_id(F.col("path")).alias("session"),
+        "ts",
+        iso_week(F.col("ts"), zone).alias("iso_week"),
+        text("j.type").alias("type"),
+        text("j.message.role").alias("role"),
+        text("j.message.model").alias("model"),
+        truncated(filled, TEXT_BYTES).alias("text"),
+        F.to_json("m.tools").alias("tools"),
+        text("j.cwd").alias("cwd"),
+        text("j.gitBranch").alias("git_branch"),
+        F.coalesce("j.isSidechain", F.lit(False)).alias("sidechain"),
+        "line_no",
+        F.octet_length(F.trim("value")).cast("long").alias("raw_bytes"),
+    )
+
+
+def as_json(name: str) -> Column:
+    """A field read as string: JSON arrays and objects as they are, anything else quoted."""
+    value = F.col(name)
+    quoted = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.when(value.startswith("[") | value.startswith("{"), value).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
+
+
+def session_id(path: Column) -> Column:
+    """The file's stem if it looks like an id (32 characters, four dashes), else stem@folder."""
+    stem = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    dashes = F.length(stem) - F.length(F.replace(stem, F.lit("-"), F.lit("")))
+    return F.when((F.length(stem) >= 32) & (dashes >= 4), stem).otherwise(F.concat_ws("@", stem, folder))
