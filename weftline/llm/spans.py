@@ -146,7 +146,7 @@ def runs_of(found: DataFrame, by_words: bool, gram: int, length: int) -> DataFra
 
 
 def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int], object], kind: str) -> DataFrame:
-    """make(text, first window, number of windows) for each row (anchor, content, doc_id, place) of need, joined by document."""
+    """(anchor, content, doc_id, made) for each row (anchor, content, doc_id, place) of need, joined by document: made is make(text, first window, number of windows)."""
     wanted = with_key(need).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("wanted"))
     texts = found.select("doc_id", "text_key", "packed")
 
@@ -155,17 +155,20 @@ def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int],
         field = {"array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[kind]
         for batch in batches:
             anchors, contents, made = [], [], []
-            for packed, want in zip(batch.column(0), batch.column(1), strict=True):
+            sizes = []
+            for packed, want in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unpack.decompress(packed.as_py())
                 anchor, content, place = (want.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 made += make(raw, place >> (KEY_BITS + COUNT_BITS), (place >> KEY_BITS) & ((1 << COUNT_BITS) - 1))
                 anchors.append(anchor)
                 contents.append(content)
+                sizes.append(len(anchor))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, contents)]
-            yield pa.RecordBatch.from_arrays([*flat, pa.array(made, field)], names=["anchor", "content", "made"])
+            yield pa.RecordBatch.from_arrays([*flat, ids, pa.array(made, field)], names=["anchor", "content", "doc_id", "made"])
 
-    joined = texts.join(wanted, same_doc(texts, wanted)).select("packed", "wanted")
-    return joined.mapInArrow(rows, f"anchor long, content long, made {kind}")
+    joined = texts.join(wanted, same_doc(texts, wanted)).select(texts["doc_id"], "packed", "wanted")
+    return joined.mapInArrow(rows, f"anchor long, content long, doc_id long, made {kind}")
 
 
 def hits_of(runs: DataFrame, verdict: DataFrame, whole: Column) -> DataFrame:

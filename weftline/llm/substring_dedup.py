@@ -47,9 +47,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first, last = F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")
     pieces = cut(lambda: runs.groupBy("anchor", "content").agg(first, last).select("anchor", "content", "first.doc_id", "first.place", "last"))
     branching = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
-    opened = spans.fetched(found, pieces.join(branching.hint("shuffle_hash"), "anchor").select(*spans.RUN_SCHEMA.replace(" long", "").split(", ")), _edges(window), "array<long>")
-    sources = pieces.select("anchor", "content", "doc_id")
-    edges = opened.join(sources, ["anchor", "content"]).select("anchor", "content", "doc_id", F.posexplode("made").alias("at", "edge"))
+    need = pieces.join(branching.hint("shuffle_hash"), "anchor").select("anchor", "content", "doc_id", "place")
+    opened = cut(lambda: spans.fetched(found, need, _edges(window), "array<long>"))
+    edges = opened.select("anchor", "content", "doc_id", F.posexplode("made").alias("at", "edge"))
     least = edges.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("edge", "least")
     covered = cut(lambda: edges.join(least.hint("shuffle_hash"), "edge").where("least < doc_id").groupBy("anchor", "content").agg(F.sort_array(F.collect_set("at")).alias("at")))
     sources = pieces.select("anchor", "content", F.col("doc_id").alias("source"), "last").join(covered, ["anchor", "content"], "left")

@@ -183,7 +183,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = spans.fetched(found, need.select("anchor", "content", "doc_id", "place"), _bytes(window), "binary")
     shards = max(1, -(-need.count() // shard_runs))
     dealt = (
-        made.join(need.select("anchor", "content", parts.alias("parts")), ["anchor", "content"])
+        made.drop("doc_id")
+        .join(need.select("anchor", "content", parts.alias("parts")), ["anchor", "content"])
         .withColumn("shard", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
         .withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("content"), "parts")).otherwise(F.lit(0).cast("long")))
     )
