@@ -82,3 +82,25 @@ def test_tail_stream_holds_back_partial_lines(spark, tmp_path):
     with file.open("a") as f:
         f.write("ial\nl4\n")
     assert run() == ["l1", "l2", "l4", "partial"]
+
+
+def test_budget_sample_takes_users_first_and_skips_what_does_not_fit(spark):
+    from weftline.operators.sampling import within_budget
+
+    turns = [(1, 0, "user", "a" * 50), (1, 1, "assistant", "b" * 30), (1, 2, "system", "c"), (1, 3, "assistant", "d" * 9), (2, 0, "user", None)]
+    turns += [(3, i, "user", "x" * 9) for i in range(11)]
+    got = within_budget(spark.createDataFrame(turns, "s int, t int, role string, text string"), "s", ["t"], "role", "text", budget=60, most=40)
+    rows = {(r["s"], r["t"]): r["text"] for r in got.collect()}
+    assert rows[1, 0] == "a" * 38 + " …"
+    # 19 characters are left for turns of 20.5 on average: none of them is taken
+    assert [k for k in rows if k[0] == 1] == [(1, 0)]
+    assert rows[2, 0] == ""
+    assert sorted(k[1] for k in rows if k[0] == 3) == [0, 2, 4, 6, 8, 10]
+
+
+def test_tool_output(spark):
+    from weftline.functions.text import tool_output
+
+    texts = [("397 def read(", False), ("397 def read(\nnext", True), ("1. do this\n2. do that", False), ("a\n12: x\n13: y\n14: z", True), ("", False), (None, False), ("@@ -1 +1\n\n \nmore", True)]
+    rows = spark.createDataFrame(texts, "text string, want boolean").withColumn("got", tool_output(F.col("text"))).collect()
+    assert [r["text"] for r in rows if r["got"] != r["want"]] == []

@@ -60,3 +60,14 @@ def flattened(content: pd.Series) -> pd.DataFrame:
             pass
         rows.append(("\n".join(texts), tools))
     return pd.DataFrame(rows, columns=["text", "tools"])
+
+
+# Fixed value: what the first characters of a line that a tool wrote look like (numbered listings, hunks, JSON, tuples, banners).
+DUMP_LINE = r"^\s*(?:\d{1,5}(?::|\s{2,}|\s\d)|\d{1,5}:? {1}[A-Za-z_{\[(#/<]|[-+]{3}\s|@@ |diff --git|=====|\{\s*\"|\[\()"
+
+
+def tool_output(text: Column, line: str = DUMP_LINE) -> Column:
+    """Of the first eight lines with text three look tool-written, or the very first one does and is not alone."""
+    lines = F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""), 1, 8)
+    marks = F.transform(lines, lambda x: x.rlike(line))
+    return (F.size(F.filter(marks, lambda m: m)) >= 3) | (F.coalesce(F.get(marks, F.lit(0)), F.lit(False)) & (F.size(lines) > 1))

@@ -60,3 +60,25 @@ def claim(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     have = sessions.select("session", F.col("byte_offset").alias("have"))
     joined = requests.join(have, "session", "left")
     return joined.withColumn("accepted", F.col("have").isNull() | (F.col("have") == F.col("start")))
+
+
+def upsert_projects(stored: DataFrame, fresh: DataFrame, key: str = "project") -> DataFrame:
+    """Project attributes after a batch: a name is set once, directory and host follow the last non-empty value."""
+    new = fresh.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in ("name", "encoded_dir", "host")])
+    full = lambda c: F.when(F.col(c) != "", F.col(c))
+    return stored.join(new, key, "full_outer").select(
+        key,
+        F.coalesce(full("name"), full("new_name"), F.lit("")).alias("name"),
+        *[F.coalesce(full(f"new_{c}"), full(c), F.lit("")).alias(c) for c in ("encoded_dir", "host")],
+    )
+
+
+def refused_files(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Requests (session, file_path) for a session that another file holds."""
+    held = sessions.select("session", F.col("file_path").alias("held_by"))
+    return requests.join(held, "session").where(F.col("held_by") != F.col("file_path"))
+
+
+def runs(summary: DataFrame) -> DataFrame:
+    """The import runs to append: something was inserted, the offset moved, or the session is new."""
+    return summary.where((F.col("inserted") > 0) | (F.col("to_offset") != F.col("from_offset")) | F.col("created"))

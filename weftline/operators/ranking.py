@@ -60,3 +60,39 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, order: list[list[Column
 def relevance_floor(df: DataFrame, score: str = "score", share: float = 0.5) -> DataFrame:
     best = df.agg(F.max(score).alias("_best"))
     return df.join(F.broadcast(best)).where(F.col(score) >= share * F.col("_best")).drop("_best")  # best: one row
+
+
+def head(ranked: DataFrame, kind: str, score: str, key: str, k: int, most: int = 2, share: float = 0.5) -> DataFrame:
+    """The top k events, and the pages that earned a slot beside them; further pages only fill up to k.
+
+    A page earns its slot with a score above all events, or as one of the first `most` pages with `share` of the
+    best event's score.  Pages come in score order, so a page's rank tells how many were taken before it.
+    """
+    event = F.col(kind) == "event"
+    best = ranked.agg(F.coalesce(F.max(F.when(event, F.col(score))), F.lit(0.0)).alias("_best"), F.count_if(event).alias("_events"))
+    by = [F.desc(score), F.when(event, 0).otherwise(1), F.col(key)]
+    placed = ranked.join(F.broadcast(best)).withColumn("_at", F.row_number().over(W.partitionBy(kind).orderBy(*by)))  # best: one row
+    above = F.col(score) > F.col("_best")
+    earned = ~event & (above | ((F.col("_at") <= most) & (F.col(score) >= share * F.col("_best"))))
+    tier = F.when(event & (F.col("_at") <= k), 0).when(earned, 0).when(~event, 1)
+    told = placed.withColumn("_tier", tier).where("_tier is not null")
+    first = told.agg(F.count_if(F.col("_tier") == 0).alias("_n"))
+    # of the rest at most k rows can be taken
+    rest = told.where("_tier = 1").orderBy(*by).limit(k)
+    out = told.where("_tier = 0").unionByName(rest).withColumn("place", F.row_number().over(W.orderBy("_tier", *by)).cast("long"))
+    return out.join(F.broadcast(first)).where(F.col("place") <= F.greatest(F.lit(k), F.col("_n"))).select(*ranked.columns, "place")
+
+
+def snippet(text: Column, terms: list[str], width: int = 900, before: int = 240) -> Column:
+    """A window of the text around the first place of any term."""
+    low = F.lower(text)
+    first = F.array_min(F.filter(F.array(*[F.instr(low, t) for t in terms]), lambda x: x > 0))
+    return F.substring(text, F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - before), F.lit(width))
+
+
+def bag_vector(text: Column, dims: int = 8) -> Column:
+    """The built-in test embedder: code points modulo `dims`, counted and scaled to length 1 (zeros for no text)."""
+    bins = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % dims)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)

@@ -27,3 +27,63 @@ def horizon(ts: Column, now: Column) -> Column:
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))
     day = 86400
     return F.when(ts.isNull(), "archive").when(age <= 7 * day, "short").when(age <= 30 * day, "month").when(age <= 90 * day, "quarter").otherwise("archive")
+
+
+def topic_material(hits: DataFrame, horizon_col: str, group: str, score: str, key: str, k: int) -> DataFrame:
+    """At most k / 4 hits of each horizon, round-robin over its groups, groups in order of their best hit; a share that is not used goes to no other horizon."""
+    share = max(1, k // 4)
+    queues = W.partitionBy(horizon_col, group)
+    ranked = hits.withColumn("pick", F.row_number().over(queues.orderBy(F.desc(score), key)).cast("long")).where(F.col("pick") <= share)
+    ranked = ranked.withColumn("_best", F.max(score).over(queues))
+    place = F.row_number().over(W.partitionBy(horizon_col).orderBy("pick", F.desc("_best"), group)).cast("long")
+    return ranked.withColumn("place", place).where(F.col("place") <= share).drop("_best")
+
+
+def clipped(text: Column, most: int) -> Column:
+    """At most so many characters, an ellipsis marking the cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 2)), F.lit(" …")))
+
+
+def within_budget(turns: DataFrame, group: str, order: list[str], role: str, text: str, budget: int = 6000, most: int = 700) -> DataFrame:
+    """The turns of each group that a reader with a character budget sees: (group, order, role, text).
+
+    Every turn is clipped.  User turns come first, thinned evenly where all together are over the budget; what
+    is left goes to assistant turns at even distances.  A turn that does not fit is skipped, later ones may fit.
+    The choice is a fold in order, so it runs per group on sizes alone; texts are joined back by key.
+    """
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    import pandas as pd
+
+    def spaced(n: int, of: int) -> list[int]:
+        if n >= of:
+            return list(range(of))
+        if n <= 1:
+            return [of // 2] * n
+        return sorted({int(Decimal(i * (of - 1) / (n - 1)).quantize(Decimal(1), ROUND_HALF_EVEN)) for i in range(n)})
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        left, taken = budget, []
+        for who in ("user", "assistant"):
+            mine = rows[rows["_role"] == who]
+            total = int(mine["_size"].sum())
+            if not len(mine) or (who == "assistant" and left <= 0):
+                continue
+            n = len(mine)
+            if who == "assistant":
+                n = min(n, int(left // (total / n)))
+            elif total > budget:
+                n = max(1, int(budget // (total / n)))
+            for i in spaced(n, len(mine)):
+                size = int(mine["_size"].iat[i])
+                if size <= left:
+                    taken.append(mine.index[i])
+                    left -= size
+        return rows.loc[taken, [group, *order]]
+
+    said = turns.select(group, *order, F.col(role).alias("_role"), clipped(F.trim(F.coalesce(F.col(text), F.lit(""))), most).alias("_text"))
+    kinds = {f.name: f.dataType.simpleString() for f in said.schema}
+    sizes = said.where("_role in ('user', 'assistant')").select(group, *order, "_role", (F.length("_text") + 1).alias("_size"))
+    chosen = sizes.groupBy(group).applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in (group, *order)))
+    return said.join(chosen, [group, *order], "left_semi").select(group, *order, F.col("_role").alias(role), F.col("_text").alias(text))

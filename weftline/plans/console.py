@@ -211,19 +211,19 @@ def jsonl_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
-_BM25 = r"""WITH t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 0) AS w FROM documents),
+BM25_SQL = r"""WITH t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 0) AS w FROM documents),
 f AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'idiot')) AS a, len(list_filter(w, lambda x: x = 'trash')) AS b FROM t0),
 s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
 r AS (SELECT doc_id, round(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) ELSE 0 END
  + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) ELSE 0 END, 9) AS score FROM f, s WHERE a > 0 OR b > 0) """
 
 
-@query("bm25_documents", _BM25 + "SELECT doc_id, round(score, 6) AS score FROM r")
+@query("bm25_documents", BM25_SQL + "SELECT doc_id, round(score, 6) AS score FROM r")
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.bm25(table(spark, sf_dir, "documents"), ["idiot", "trash"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("relevance_floor", _BM25 + "SELECT doc_id, round(score, 6) AS score FROM r WHERE score >= 0.5 * (SELECT max(score) FROM r)")
+@query("relevance_floor", BM25_SQL + "SELECT doc_id, round(score, 6) AS score FROM r WHERE score >= 0.5 * (SELECT max(score) FROM r)")
 def relevance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.relevance_floor(ranking.bm25(table(spark, sf_dir, "documents"), ["idiot", "trash"])).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -247,7 +247,7 @@ def knn_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rrf_hybrid",
-    _BM25.rstrip() + ", " + _KNN.replace("WITH q AS", "q AS").rstrip() + """, v AS (SELECT vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 20), t AS (SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20),
+    BM25_SQL.rstrip() + ", " + _KNN.replace("WITH q AS", "q AS").rstrip() + """, v AS (SELECT vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 20), t AS (SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20),
     u AS (SELECT vec_id AS doc_id, 1.0::DOUBLE / (59 + row_number() OVER (ORDER BY distance, vec_id)) AS part FROM v UNION ALL SELECT doc_id, 1.0::DOUBLE / (59 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM t)
     SELECT doc_id, round(sum(part), 9) AS score FROM u GROUP BY 1""",
 )
