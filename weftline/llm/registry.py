@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftline.llm import decontaminate
+from weftline.llm import decontaminate, oracles
 from weftline.llm.decontaminate import op5_benchmark_containment
 from weftline.llm.fm_quality import op9_factorisation_machine
 from weftline.llm.jaccard_join import op4_ngram_jaccard_join
@@ -29,4 +29,8 @@ QUERIES: dict[str, Callable] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL: dict[str, str] = {"op5_benchmark_containment": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_ngram_jaccard_join": oracles.JACCARD_JOIN,
+    "op5_benchmark_containment": decontaminate.SQL,
+}
