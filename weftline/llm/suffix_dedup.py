@@ -31,7 +31,7 @@ from weftline.llm.runtime import cut
 WINDOW = 200
 GRAM = 64
 #: Different runs of a shard, and of one minimizer before it is dealt over several shards.
-SHARD_RUNS = 6000
+SHARD_RUNS = 2500
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
