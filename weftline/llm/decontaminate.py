@@ -13,7 +13,7 @@ among its own.
 Defined results: null and empty texts are clean, items without words match nothing; an item of one to four
 words is one shingle, its whole text, and matches documents of just these words; repeated documents are
 each judged, rows that share a doc_id share the union of their items; items that share an item_id
-are one item for each text; empty tables give no contamination; further columns are ignored or, in
+are one item for each text; a document with a null id is never flagged and stays; empty tables give no contamination; further columns are ignored or, in
 without_leaks(), kept.
 """
 
