@@ -4,6 +4,8 @@
 2. Who can have a partner?  A set of n shingles with a partner of another class shares at least 80 % of them,
    so of its first FRONT * n hashes at most n / 5 are its own.  These front hashes are counted over all
    classes (narrow rows, map-side combined); a class with more than n / 5 front hashes of its own is alone.
+   A larger partner's own hashes can push a shared one out of its front; SHORT sizes, where that costs a hit, may
+   lack one more.
 3. Of what is left, all hashes are counted among each other: a class stays only if it shares at least 80 % of its
    own.  Those are joined to groups by shared hashes of their first n / 5 + 1 (each to the smallest class that has
    the hash, so a hot hash gives one edge for each class and no pairs); partners always share one of these.
@@ -42,6 +44,24 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: Share of a set's smallest hashes that are counted.
 FRONT = 0.25
+
+
+def _front(n: int) -> int:
+    return min(n, int(FRONT * n) + 2)
+
+
+def _least_hits(n: int) -> int:
+    """The fewest front hashes that a set of n can share with the front of a partner of another class."""
+    hits = [_front(n)]
+    for m in range(-(-PART * n // WHOLE), WHOLE * n // PART + 1):
+        # one that shares all it can, and less: common >= PART * (n + m) / (PART + WHOLE)
+        for common in range(-(-PART * (n + m) // (PART + WHOLE)), min(n, m) + 1):
+            hits.append(min(_front(n) - (n - common), _front(m) - (m - common)))
+    return min(hits)
+
+
+#: Sizes of which one hit more can be missing.  With FRONT a quarter, a set loses at most 1.55 - n / 80 hits to a partner's front, so never two, and none from 45 on.
+SHORT = tuple(n for n in range(1, 45) if _least_hits(n) < _front(n) - n // WHOLE)
 #: Classes of a tile, and bits of a signature for each shingle of its largest set.
 TILE = 256
 BITS = 2
@@ -101,7 +121,8 @@ def _hopeful(narrow: DataFrame, classes: DataFrame) -> DataFrame:
     n = F.col("n")
     front = F.least(n, F.floor(n * FRONT) + 2)
     # copies bring the same hashes again
-    return by.join(classes, "key").where(F.col("hits") / F.col("copies") >= front - F.floor(n / WHOLE)).select("key")
+    least = front - F.floor(n / WHOLE) - n.isin(*SHORT).cast("int")
+    return by.join(classes, "key").where(F.col("hits") / F.col("copies") >= least).select("key")
 
 
 def _edges(members: DataFrame) -> DataFrame:
