@@ -41,7 +41,8 @@ def _edges(window: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, kept_sha256, spans) of each document; spans in words, end excluded."""
     docs = spans.keyed(docs, id_col, text_col)
-    found = spans.candidates(docs, True, gram, window, across=True)
+    # a document without an id neither loses words nor takes them, so it has no runs
+    found = spans.candidates(docs.where("doc_id is not null"), True, gram, window, across=True)
     runs = spans.runs_of(found, True, gram, window)
     # one row for each path piece, with its first source
     first, last = F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")
