@@ -11,7 +11,7 @@ for the next version line (or, in compressed files, for the next gzip member), g
 bytes in between as a quarantined gap; so one bad record does not cost the later ones.
 
 Defined results: a null page is an empty payload; an empty table writes and gives nothing; repeated rows
-give one record each; further columns are ignored; urls and headers never break a record, as CR and LF in
+give one record each, and rows that share an id are compared by their own payloads; further columns are ignored; urls and headers never break a record, as CR and LF in
 them are percent-encoded; a null id is written as an empty id and read back as null.
 """
 
@@ -40,13 +40,13 @@ _GZIP = b"\x1f\x8b\x08"
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """(value): one record each, without its closing blank lines."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    digest = F.sha1(F.encode(html, "utf-8"))
-    narrow = pages.where(F.octet_length(html) >= least).select(F.col(id_col).cast("long").alias("_id"), digest.alias("_digest"))
+    digest = F.sha1(F.encode(html, "utf-8")).alias("_digest")
+    narrow = pages.where(F.octet_length(html) >= least).select(F.col(id_col).cast("long").alias("_id"), digest)
     groups = narrow.groupBy("_digest").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # only ids move here: the revisits, and what they refer to
-    revisits = narrow.join(groups, "_digest").where("_id < _first").groupBy("_id").agg(F.max("_first").alias("_first"))
-    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"), html.alias("_html")).join(revisits, "_id", "left")
-    again = F.col("_first").isNotNull() & (F.octet_length("_html") >= least)
+    # only ids and digests move here: the revisits, and what they refer to; rows that share an id need not share a payload
+    revisits = narrow.join(groups, "_digest").where("_id < _first").groupBy("_id", "_digest").agg(F.max("_first").alias("_first"))
+    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"), html.alias("_html"), digest).join(revisits, ["_id", "_digest"], "left")
+    again = F.col("_first").isNotNull()
     crlf = F.lit("\r\n")
     uri = F.replace(F.replace("_url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     name = lambda c: F.concat(F.lit("<urn:weftline:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -58,7 +58,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "),
         uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
-        F.sha1(F.encode("_html", "utf-8")),
+        F.col("_digest"),
         F.lit("\r\nX-Payload-Length: "),
         F.octet_length("_html").cast("string"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("_first")))).otherwise(F.lit("")),
