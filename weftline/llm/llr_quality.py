@@ -1,10 +1,9 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted and a raw multinomial.
 
 Words and pairs of words are hashed to BUCKETS; two multinomials with add-one smoothing are counted, one
-over trusted documents (labelled good; at most TRUSTED of them, by a hash of their id), one over all
-documents.  A document's score is the mean over its n-grams of log(p_trusted / p_raw); base rules (too few
+over all trusted documents (labelled good), one over all documents.  A document's score is the mean over its n-grams of log(p_trusted / p_raw); base rules (too few
 words, too much repetition) and a fixed threshold decide on every document.  Built-in SQL functions only:
-one aggregate of fixed size, then one pass without a shuffle.
+a join with the labels by id, one aggregate of fixed size, then one pass without a shuffle.
 
 Defined results: a null text has no words and fails the base rules; texts of one word have no pairs; without
 trusted labels the ratio is even and only the base rules decide; repeated rows give repeated results; an
@@ -20,7 +19,6 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 WINDOW = 5
@@ -42,20 +40,20 @@ def _grams(w: str) -> Column:
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[float]:
     """The log ratio of each bucket; BUCKETS numbers come to the driver, whatever the input."""
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    share = min(1.0, TRUSTED / max(1, good.count()))
-    few = good.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("_good", F.lit(1))
-    words = docs.join(F.broadcast(few), F.col(id_col) == F.col("_id"), "left").select(_words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"), "_good")
-    counts = words.select("_good", F.explode(_grams("w")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good")).toArrow()
-    import numpy as np
-
-    raw, trusted = np.ones(BUCKETS), np.ones(BUCKETS)
-    at = counts["b"].to_numpy()
-    raw[at] += counts["raw"].to_numpy()
-    trusted[at] += counts["good"].to_numpy()
-    if trusted.sum() == BUCKETS:
-        return [0.0] * BUCKETS
-    return np.round(np.log(trusted / trusted.sum()) - np.log(raw / raw.sum()), 3).tolist()
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(1))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+    # texts without an id have no label and would all meet in one task of the join
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), text).join(good.hint("shuffle_hash"), "_id", "left").select("_text", "_good")
+    texts = named.unionByName(docs.where(F.col(id_col).isNull()).select(text, F.lit(None).cast("int").alias("_good")))
+    grams = texts.select(_words(F.col("_text")).alias("w"), "_good").select("_good", F.explode(_grams("w")).alias("b"))
+    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good"))
+    one = lambda c: (F.coalesce(F.col(c), F.lit(0)) + 1).alias(c)
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", one("raw"), one("good"))
+    # BUCKETS rows in one array, whatever the input
+    whole = every.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("t"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
+    ratio = lambda x: F.round(F.log(x["good"] / F.col("n_good")) - F.log(x["raw"] / F.col("n_raw")), 3)
+    even = F.array_repeat(F.lit(0.0), BUCKETS)
+    return whole.select(F.when(F.col("n_good") == BUCKETS, even).otherwise(F.transform("t", ratio)).alias("r")).first()["r"]
 
 
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
