@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 
 def stratify(df: DataFrame, group: str, order: list[Column], key: str, most: int) -> DataFrame:
     """Round-robin over groups: the k-th item of each group before any (k+1)-th; groups in order of their best item."""
-    ranked = df.withColumn("pick", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long"))
+    ranked = df.withColumn("pick", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    # an item's pick is at most its place, and right after row_number() Spark prunes groups before they move
+    ranked = ranked.where(F.col("pick") <= most).withColumn("pick", F.col("pick").cast("long"))
     heads = ranked.where("pick = 1").withColumn("group_rank", F.row_number().over(W.orderBy(*order, group)).cast("long")).select(group, "group_rank")
     return ranked.join(F.broadcast(heads), group).orderBy("pick", "group_rank", key).limit(most)
 
