@@ -1,9 +1,9 @@
-"""Benchmark decontamination by size-partitioned MinHash containment.
+"""Benchmark decontamination by MinHash containment.
 
 An item's signature is its smallest shingle hashes, as many as pigeonhole asks for: an item with n shingles
-of which at least 80 % are in a document shares with it one of any (n - ceil(0.8 n) + 1) of them.  Items are
-partitioned by size (powers of two); the largest signature value of a partition is the highest hash a
-document's shingle can have to matter there, so long documents are probed with their small hashes only.
+of which at least 80 % are in a document shares with it one of any (n - ceil(0.8 n) + 1) of them.  The
+largest signature value of all items is the highest hash a document's shingle can have to matter, so long
+documents are probed with their small hashes only; a tiny item with a high hash makes that bound loose.
 Candidates lose nothing against the exact rule and are verified by exact shingle containment.  Built-in SQL
 functions only.
 
