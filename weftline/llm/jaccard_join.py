@@ -7,8 +7,8 @@
    A larger partner's own hashes can push a shared one out of its front; SHORT sizes, where that costs a hit, may
    lack one more.
 3. Of what is left, all hashes are counted among each other: a class stays only if it shares at least 80 % of its
-   own.  Those are joined to groups by shared hashes of their first n / 5 + 1 (each to the smallest class that has
-   the hash, so a hot hash gives one edge for each class and no pairs); partners always share one of these.
+   own.  Those are joined to groups by shared hashes of their n / 5 + 1 rarest (each to the smallest class that has
+   the hash there, so a hot hash gives one edge for each class and no pairs); partners always share one of these.
 4. A group is cut into tiles of bounded size by bands of set size (a factor of 1.25 each), and a tile is packed
    to a fraction of its sets' bytes.  Pairs of tiles of the same band or of neighbouring bands are compared: hashed
    bitmap signatures bound the overlap from above by bit counts, and the pairs that remain are intersected exactly
@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import kernels as k
-from weftline.llm import spans
 from weftline.llm.runtime import cut
 
 SHINGLE = 5
@@ -62,8 +61,9 @@ def _least_hits(n: int) -> int:
 
 #: Sizes of which one hit more can be missing.  With FRONT a quarter, a set loses at most 1.55 - n / 80 hits to a partner's front, so never two, and none from 45 on.
 SHORT = tuple(n for n in range(1, 45) if _least_hits(n) < _front(n) - n // WHOLE)
-#: Classes of a tile, and bits of a signature for each shingle of its largest set.
-TILE = 256
+#: Classes and hashes of a tile at most (one set is never cut), and bits of a signature for each shingle of its largest set.
+TILE = 1024
+TILE_HASHES = 1 << 20
 BITS = 2
 
 
@@ -99,7 +99,8 @@ def _slices(column: pa.Array):
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, counts, key in _slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(key)), pa.array(counts, pa.int64()), pa.array(key)], names=["doc_id", "n", "key"])
+            row = [batch.column(i).slice(first, len(key)) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*row, pa.array(counts, pa.int64()), pa.array(key)], names=["doc_id", "text_hash", "n", "key"])
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +127,21 @@ def _hopeful(narrow: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _edges(members: DataFrame) -> DataFrame:
-    """(key, leader) of the members that share PART of WHOLE of all their hashes with other members, over their first hashes."""
-    every = members.select("key", "n", F.posexplode("set").alias("rank", "hash"))
-    shared = every.groupBy("hash").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
-    first = F.col("rank") <= F.floor(F.col("n") / WHOLE)
-    hit = every.select("key", "n", "hash", first.alias("first")).join(shared.select("hash", "leader").hint("shuffle_hash"), "hash")
-    by = hit.groupBy("key", "leader").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("hits"), F.max("first").alias("first"))
-    by = by.groupBy("key").agg(F.max("n").alias("n"), F.sum("hits").alias("hits"), F.collect_set(F.when(F.col("first"), F.col("leader"))).alias("leaders"))
-    return by.where(WHOLE * F.col("hits") >= PART * F.col("n")).select("key", F.explode("leaders").alias("leader"))
+    """(key, leader): classes that share a rare hash, each with the smallest class that has it among its rarest.
+
+    Hashes are ordered by how many members hold them, so a passage that many texts share comes last.  In any one
+    order, two sets of which each shares PART of WHOLE of its hashes with the other meet among their first n / WHOLE + 1;
+    hashes that no other member has are the first of all, so they leave fewer places for shared ones.
+    """
+    every = members.select("key", "n", F.explode("set").alias("hash"))
+    shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    hit = every.join(shared.hint("shuffle_hash"), "hash")
+    by = hit.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("held", "hash"))).alias("hits"))
+    by = by.where(WHOLE * F.size("hits") >= PART * F.col("n"))
+    places = F.floor(F.col("n") / WHOLE) + 1 - F.col("n") + F.size("hits")
+    first = cut(lambda: by.select("key", F.explode(F.slice("hits", F.lit(1), places.cast("int"))["hash"]).alias("hash")))
+    leaders = first.groupBy("hash").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last")
+    return first.join(leaders.select("hash", "leader").hint("shuffle_hash"), "hash").select("key", "leader").distinct()
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -277,10 +285,28 @@ def _links(left: list, right: list, n_left: np.ndarray, n_right: np.ndarray) ->
     return may & (WHOLE * common >= PART * (need_left + need_right - common))
 
 
+def narrowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, text_hash) of any table."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
+def same_text(left: DataFrame, right: DataFrame):
+    """By id and text, so that rows without an id meet only equal texts."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = pa.array([press.compress(x.as_py().encode()) for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), texts], names=["doc_id", "text_hash", "packed"])
+
+
 def _texts(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n, copies, set) of the wanted classes (doc_id, key, ...), one text each."""
-    packed = spans.keyed(narrow, "doc_id", "text").mapInArrow(spans.pack_texts, "doc_id long, text_key long, packed binary")
-    joined = packed.join(wanted, packed["doc_id"].eqNullSafe(wanted["doc_id"])).select("packed", "key", "n", "copies")
+    """(key, n, copies, set) of the wanted classes (doc_id, text_hash, key, ...), one text each; again for rows that are repeated."""
+    packed = narrow.mapInArrow(_pack, "doc_id long, text_hash long, packed binary")
+    joined = packed.join(wanted, same_text(packed, wanted)).select("packed", "key", "n", "copies")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -299,15 +325,17 @@ def _linked(members: DataFrame) -> DataFrame:
     """(key, near, links) within groups.  Each class moves once, to its tile; packed tiles go to all pairs with tiles of their band or the next one."""
     band = F.floor(F.log("n") / F.log(F.lit(WHOLE / PART))).cast("long")
     members = members.withColumn("band", band)
-    total = members.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    parts = members.groupBy("root", "band").agg(F.count(F.lit(1)).alias("classes")).select("root", "band", F.ceil(F.col("classes") / F.lit(TILE)).alias("parts"))
+    full = F.greatest(F.count(F.lit(1)) / F.lit(TILE), F.sum("n") / F.lit(TILE_HASHES))
+    total = members.groupBy("root").agg(full.alias("total"))
+    parts = members.groupBy("root", "band").agg(F.ceil(full).alias("parts"))
     number = lambda band, part: band * F.lit(1 << 32) + part
-    alone = F.col("total") <= TILE
+    alone = F.col("total") <= 1
     zero = F.lit(0).cast("long")
     tile = F.when(alone, zero).otherwise(number(F.col("band"), F.pmod(F.xxhash64("key"), "parts")))
     placed = members.join(total, "root").join(parts, ["root", "band"]).select("key", "copies", "root", tile.alias("tile"), alone.alias("alone"), "set")
-    bins = max(1, members.count() // (2 * TILE))
-    # a tile is in one bin whole; a bin has two tiles or as many small groups
+    size = members.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("hashes")).first()
+    bins = max(1, size.n // TILE, size.hashes // TILE_HASHES)
+    # a tile is in one bin whole; a bin has a tile or as many small groups
     binned = placed.withColumn("bin", F.pmod(F.xxhash64("root", "tile"), F.lit(bins)))
     tiles = cut(lambda: binned.groupBy("bin").applyInPandas(_tiles, "key long, near long, links long, root long, tile long, packed binary"))
 
@@ -324,24 +352,27 @@ def _linked(members: DataFrame) -> DataFrame:
     upper = pairs(F.coalesce("parts_up", zero), F.col("band") + 1, True)
     lower = F.transform(pairs(F.coalesce("parts_down", zero), F.col("band") - 1, True), lambda p: F.struct(p["two"].alias("one"), p["one"].alias("two")))
     dealt = large.select("root", "tile", F.explode(F.concat(same, upper, lower)).alias("pair"), "packed").select("root", "tile", "pair.*", "packed")
-    tasks = max(1, dealt.drop("packed").count() // 8)
+    tasks = max(1, dealt.drop("packed").count() // 4)
     compared = dealt.withColumn("task", F.pmod(F.xxhash64("root", "one", "two"), F.lit(tasks))).groupBy("task").applyInPandas(_compare, "key long, near long, links long")
     return tiles.where("key is not null").select("key", "near", "links").unionByName(compared)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of each row; n_links counts linked rows, copies included."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = cut(lambda: narrow.mapInArrow(_classes, "doc_id long, n long, key long"))
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    hopeful = cut(lambda: _hopeful(narrow, classes).join(classes, "key").select(F.col("least").alias("doc_id"), "key", "n", "copies"))
+    narrow = narrowed(docs, id_col, text_col)
+    rows = cut(lambda: narrow.mapInArrow(_classes, "doc_id long, text_hash long, n long, key long"))
+    # a class without any id is still one text
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    classes = rows.where("n > 0").groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    classes = classes.select("key", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "copies", "n")
+    hopeful = cut(lambda: _hopeful(narrow, classes).join(classes, "key").select(F.col("least").alias("doc_id"), "text_hash", "key", "n", "copies"))
     members = cut(lambda: _texts(narrow, hopeful))
     edges = cut(lambda: _edges(members))
     groups = components(edges, "key", "leader").join(edges.select("key").distinct(), F.col("node") == F.col("key")).select("key", "root")
     # groups of one class have no one to be compared with
     several = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("root")
-    members = members.join(groups.join(several, "root"), "key")
-    linked = cut(lambda: _linked(members))
+    grouped = cut(lambda: members.join(groups.join(several, "root"), "key"))
+    linked = cut(lambda: _linked(grouped))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(linked, "key", "near")
     whole = classes.join(counts, "key", "left").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
@@ -352,7 +383,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns; of rows that share that id all stay."""
+    """The documents with the smallest id of their component, with all their columns; of rows that share that id, and of rows without an id, all stay."""
     others = joined(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_other")).distinct()
     return docs.join(others, docs[id_col].cast("long") == F.col("_other"), "left_anti")
 
