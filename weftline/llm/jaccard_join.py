@@ -62,8 +62,8 @@ def _least_hits(n: int) -> int:
 #: Sizes of which one hit more can be missing.  With FRONT a quarter, a set loses at most 1.55 - n / 80 hits to a partner's front, so never two, and none from 45 on.
 SHORT = tuple(n for n in range(1, 45) if _least_hits(n) < _front(n) - n // WHOLE)
 #: Classes and hashes of a tile at most (one set is never cut), and bits of a signature for each shingle of its largest set.
-TILE = 1024
-TILE_HASHES = 1 << 20
+TILE = 512
+TILE_HASHES = 1 << 19
 BITS = 2
 
 

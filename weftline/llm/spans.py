@@ -6,9 +6,9 @@ can only be repeated if the hash of its run's minimizer is, and two runs with eq
 repeated.  That makes one narrow row per run (a ninth to a seventieth of the windows), counted by a
 map-side combined aggregate and joined back by key, so that a hot passage never gathers in one task.
 
-A run is (anchor, content, doc_id, place): the hash of its minimizer, the hash of its whole content, and
-place = first window << 28 | number of windows << 20 | 20 bits of the text's hash.  With the last, rows
-that share a doc_id but not a text stay apart; rows that are wholly equal get equal results.
+A run is (anchor, content, doc_id, text_key, place): the hash of its minimizer, the hash of its whole
+content, the id and the 64-bit hash of its text, and place = first window << 8 | number of windows.  Rows
+that share a doc_id, or have none, stay apart by their texts; rows that are wholly equal get equal results.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from weftline.llm import kernels as k
 from weftline.llm.runtime import cut
 
-KEY_BITS, COUNT_BITS = 20, 8
-RUN_SCHEMA = "anchor long, content long, doc_id long, place long"
+COUNT_BITS = 8
+RUN_SCHEMA = "anchor long, content long, doc_id long, text_key long, place long"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, text_key) of any table, other columns dropped."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text").bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
 def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[k.Rolling, np.ndarray]:
@@ -45,15 +45,15 @@ def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[k.Rol
 def run_rows(by_words: bool, gram: int, length: int, with_place: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for first, data, offsets in k.slices(batch.column(1)):
                 rolling, bounds = _units(data, offsets, by_words)
                 grams = rolling.grams(gram)
                 owner, a, b, p = k.runs_by_minimizer(grams, bounds, gram, length)
-                columns = [pa.array(grams[p].view(np.int64)), ids.take(pa.array(first + owner))]
+                at = pa.array(first + owner)
+                columns = [pa.array(grams[p].view(np.int64)), batch.column(0).take(at)]
                 if with_place:
-                    columns.append(pa.array((a - bounds[owner]) << (KEY_BITS + COUNT_BITS) | (b - a + 1) << KEY_BITS | keys[first + owner]))
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "place"][: len(columns)])
+                    columns += [batch.column(2).take(at), pa.array((a - bounds[owner]) << COUNT_BITS | (b - a + 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "text_key", "place"][: len(columns)])
 
     return rows
 
@@ -89,19 +89,15 @@ def same_doc(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
-def with_key(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("text_key", F.col("place").bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
-
-
 def _shared_places(docs: DataFrame, by_words: bool, gram: int, length: int, across: bool) -> DataFrame:
     narrow = docs.mapInArrow(run_rows(by_words, gram, length, False), "anchor long, doc_id long")
     if across:
         found = narrow.where("doc_id is not null").groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     else:
         found = narrow.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = docs.mapInArrow(run_rows(by_words, gram, length, True), "anchor long, doc_id long, place long")
+    runs = docs.mapInArrow(run_rows(by_words, gram, length, True), "anchor long, doc_id long, text_key long, place long")
     # each anchor is one row of `found`, so the join emits each run once at most; AQE splits hot anchors
-    shared = with_key(runs.join(found.select("anchor").hint("shuffle_hash"), "anchor"))
+    shared = runs.join(found.select("anchor").hint("shuffle_hash"), "anchor")
     return shared.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
@@ -121,33 +117,33 @@ def candidates(docs: DataFrame, by_words: bool, gram: int, length: int, across:
 
 
 def runs_of(found: DataFrame, by_words: bool, gram: int, length: int) -> DataFrame:
-    """(anchor, content, doc_id, place) of the runs of candidates()."""
+    """(anchor, content, doc_id, text_key, place) of the runs of candidates()."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             anchors, contents, counts, places = [], [], [], []
-            for packed, chosen in zip(batch.column(1), batch.column(2), strict=True):
+            for packed, chosen in zip(batch.column(2), batch.column(3), strict=True):
                 data = np.frombuffer(unpack.decompress(packed.as_py()), np.uint8)
                 rolling, bounds = _units(data, np.array([0, len(data)]), by_words)
                 grams = rolling.grams(gram)
                 _, a, b, p = k.runs_by_minimizer(grams, bounds, gram, length)
                 chosen = np.sort(chosen.values.to_numpy(zero_copy_only=False))
-                at = np.searchsorted(a, chosen >> (KEY_BITS + COUNT_BITS))
+                at = np.searchsorted(a, chosen >> COUNT_BITS)
                 anchors.append(grams[p[at]].view(np.int64))
                 contents.append(rolling.of(a[at], b[at] + length).view(np.int64))
                 places.append(chosen)
                 counts.append(len(chosen))
             owner = pa.array(np.repeat(np.arange(len(counts)), counts))
             flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, contents, places)]
-            yield pa.RecordBatch.from_arrays([flat[0], flat[1], batch.column(0).take(owner), flat[2]], names=["anchor", "content", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([flat[0], flat[1], batch.column(0).take(owner), batch.column(1).take(owner), flat[2]], names=["anchor", "content", "doc_id", "text_key", "place"])
 
-    return found.select("doc_id", "packed", "places").mapInArrow(rows, RUN_SCHEMA)
+    return found.select("doc_id", "text_key", "packed", "places").mapInArrow(rows, RUN_SCHEMA)
 
 
 def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int], object], kind: str) -> DataFrame:
-    """(anchor, content, doc_id, made) for each row (anchor, content, doc_id, place) of need, joined by document: made is make(text, first window, number of windows)."""
-    wanted = with_key(need).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("wanted"))
+    """(anchor, content, doc_id, made) for each row (anchor, content, doc_id, text_key, place) of need, joined by document: made is make(text, first window, number of windows)."""
+    wanted = need.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("wanted"))
     texts = found.select("doc_id", "text_key", "packed")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +155,7 @@ def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int],
             for packed, want in zip(batch.column(1), batch.column(2), strict=True):
                 raw = unpack.decompress(packed.as_py())
                 anchor, content, place = (want.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                made += make(raw, place >> (KEY_BITS + COUNT_BITS), (place >> KEY_BITS) & ((1 << COUNT_BITS) - 1))
+                made += make(raw, place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1))
                 anchors.append(anchor)
                 contents.append(content)
                 sizes.append(len(anchor))
@@ -173,10 +169,10 @@ def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int],
 
 def hits_of(runs: DataFrame, verdict: DataFrame, whole: Column) -> DataFrame:
     """(doc_id, text_key, hits): all windows of a run where `whole` holds, else the windows that its verdict's `at` lists."""
-    whole_run = F.array(F.shiftright("place", KEY_BITS))
-    first = F.shiftright("place", KEY_BITS + COUNT_BITS)
+    whole_run = F.array("place")
+    first = F.shiftright("place", COUNT_BITS)
     part = F.transform(F.col("at"), lambda x: F.shiftleft(first + x, COUNT_BITS) + F.lit(1))
-    hit = with_key(runs).join(verdict, ["anchor", "content"]).where(whole | F.col("at").isNotNull())
+    hit = runs.join(verdict, ["anchor", "content"]).where(whole | F.col("at").isNotNull())
     return hit.select("doc_id", "text_key", F.when(whole, whole_run).otherwise(part).alias("hits")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 

@@ -45,10 +45,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = spans.candidates(docs.where("doc_id is not null"), True, gram, window, across=True)
     runs = spans.runs_of(found, True, gram, window)
     # one row for each path piece, with its first source
-    first, last = F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")
-    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(first, last).select("anchor", "content", "first.doc_id", "first.place", "last"))
+    first, last = F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.max("doc_id").alias("last")
+    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(first, last).select("anchor", "content", "first.*", "last"))
     branching = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n > 1 and lo < hi").select("anchor")
-    need = pieces.join(branching.hint("shuffle_hash"), "anchor").select("anchor", "content", "doc_id", "place")
+    need = pieces.join(branching.hint("shuffle_hash"), "anchor").select("anchor", "content", "doc_id", "text_key", "place")
     opened = cut(lambda: spans.fetched(found, need, _edges(window), "array<long>"))
     edges = opened.select("anchor", "content", "doc_id", F.posexplode("made").alias("at", "edge"))
     least = edges.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("edge", "least")

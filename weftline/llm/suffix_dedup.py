@@ -13,8 +13,9 @@
 Matches never cross documents; strings are judged on the input.
 
 Defined results: a null or empty text has no bytes; texts under 200 bytes keep all; rows that are
-repeated (same id, same text) repeat each other; a null doc_id is a document like others; an empty
-table gives an empty result; further columns of the input are ignored.
+repeated (same id, same text) repeat each other; rows that share a doc_id or have none are documents of their
+own, told apart by a 64-bit hash of their texts; an empty table gives an empty result; further columns of the
+input are ignored or, in without_repeats(), kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,12 +176,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = spans.keyed(docs, id_col, text_col)
     found = spans.candidates(docs, False, gram, window, across=False)
     runs = spans.runs_of(found, False, gram, window)
-    first = F.min(F.struct("doc_id", "place")).alias("first")
-    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "content", "n", "first.doc_id", "first.place"))
+    first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
+    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "content", "n", "first.*"))
     several = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
     need = pieces.join(several.hint("shuffle_hash"), "anchor")
     parts = F.ceil(F.col("pieces") / F.lit(shard_runs)).cast("long")
-    made = spans.fetched(found, need.select("anchor", "content", "doc_id", "place"), _bytes(window), "binary")
+    made = spans.fetched(found, need.select("anchor", "content", "doc_id", "text_key", "place"), _bytes(window), "binary")
     shards = max(1, -(-need.count() // shard_runs))
     dealt = (
         made.drop("doc_id")
@@ -214,15 +215,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents with their texts cut (split characters at a cut are dropped) and lengths renewed; all rows stay."""
     _, gone = repeated_bytes(docs, id_col, text_col, keep_text=True, **options)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_kept"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text).bitwiseAND(F.lit((1 << spans.KEY_BITS) - 1))
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left")
-    fresh = F.coalesce(F.col("_kept"), F.col(text_col))
-    out = out.withColumn(text_col, fresh)
+    gone = gone.select("doc_id", "text_key", "kept")
+    # the table's own columns travel in a struct, so that their names can't clash with those of the cuts
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("own"))
+    key = F.xxhash64(F.coalesce(F.col("own")[text_col].cast("string"), F.lit("")))
+    out = own.join(gone, F.col("own")[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (key == gone["text_key"]), "left")
+    text = F.coalesce("kept", F.col("own")[text_col].cast("string"))
+    fresh = {text_col: text.cast(docs.schema[text_col].dataType)}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        fresh[length_col] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[length_col].dataType)
+    return out.select(*[fresh.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
