@@ -14,7 +14,8 @@ def test_all_good_documents_count(spark):
     docs = docs.unionByName(spark.createDataFrame([(None, "w1 v1"), (None, None), (3, "w3 v3")], "doc_id long, text string"))
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 6 == 0, 0).otherwise(1).alias("quality"))
     labels = labels.unionByName(spark.createDataFrame([(1, 1), (None, 1)], "doc_id long, quality int"))
-    buckets = {r.text: list(r.b) for r in docs.select("text").distinct().select("text", llr_quality._words(F.coalesce("text", F.lit(""))).alias("w")).select("text", llr_quality._grams("w").alias("b")).collect()}
+    hashed = docs.select("text").distinct().select("text", llr_quality._hashes(llr_quality._words(F.coalesce("text", F.lit("")))).alias("h"))
+    buckets = {r.text: [x % llr_quality.BUCKETS for x in r.g] for r in hashed.select("text", F.concat("h", llr_quality._pairs("h")).alias("g")).collect()}
     raw, good = collections.Counter(), collections.Counter()
     for i, text in [*((i, f"w{i % 50} v{i % 7}") for i in range(n)), (None, "w1 v1"), (None, None), (3, "w3 v3")]:
         raw.update(buckets[text])
