@@ -1,10 +1,11 @@
 """Benchmark decontamination by MinHash containment.
 
 An item's signature is its smallest shingle hashes, as many as pigeonhole asks for: an item with n shingles
-of which at least 80 % are in a document shares with it one of any (n - ceil(0.8 n) + 1) of them.  The
-largest signature value of all items is the highest hash a document's shingle can have to matter, so long
-documents are probed with their small hashes only; a tiny item with a high hash makes that bound loose.
-Candidates lose nothing against the exact rule and are verified by exact shingle containment.  Built-in SQL
+of which at least 80 % are in a document shares with it one of any (n - ceil(0.8 n) + 1) of them.  Items are
+partitioned by size (powers of four).  In each partition the largest signature value is the highest hash a
+document's shingle can have to matter there, so long documents are probed with their small hashes only, and
+documents too short to hold 80 % of its smallest item are not probed at all; a tiny item with a high hash opens
+only its own partition.  Candidates lose nothing against the exact rule and are verified by exact shingle containment.  Built-in SQL
 functions only.
 
 A document is contaminated if at least 80 % of the distinct 5-word shingles (lower case) of an item are
@@ -13,8 +14,8 @@ among its own.
 Defined results: null and empty texts are clean, items without words match nothing; an item of one to four
 words is one shingle, its whole text, and matches documents of just these words; repeated documents are
 each judged, rows that share a doc_id share the union of their items; items that share an item_id
-are one item for each text; a document with a null id is never flagged and stays; empty tables give no contamination; further columns are ignored or, in
-without_leaks(), kept.
+are one item for each text; a document with a null id is never flagged and stays; empty tables give no
+contamination; further columns are ignored or, in without_leaks(), kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 #: Signature rows up to which they are broadcast; beyond, the join is a shuffle.
 MOST_BROADCAST = 500_000
+PROBES = "array<struct<size_class:int,hash:bigint>>"
 
 
 def shingles(text: Column) -> Column:
@@ -50,15 +52,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, item_id, n_shared, n_item) of each verified pair."""
     items = _hashed(benchmark, item_col, item_text, "item_id").select("item_id", F.sort_array(F.array_distinct("h")).alias("h")).where(F.size("h") > 0)
     items = items.withColumn("n", F.size("h").cast("long")).withColumn("item_key", F.xxhash64("item_id", "h"))
-    size_class = F.floor(F.log2("n"))
-    signature = items.select("item_id", "item_key", size_class.alias("size_class"), F.explode(F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).cast("int"))).alias("hash"))
-    bounds = signature.groupBy("size_class").agg(F.max("hash").alias("top"), F.count(F.lit(1)).alias("rows")).collect()  # one row for each power of two
-    top = max((r.top for r in bounds), default=-(1 << 63))
+    size_class = F.floor(F.log2("n") / 2).cast("int")
+    signature = items.select("item_id", "item_key", "n", size_class.alias("size_class"), F.explode(F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).cast("int"))).alias("hash"))
+    # one row for each power of four
+    bounds = signature.groupBy("size_class").agg(F.max("hash").alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).orderBy("size_class").collect()
     small = sum(r.rows for r in bounds) <= MOST_BROADCAST
     hint = F.broadcast if small else (lambda x: x)
     hashed = _hashed(docs, id_col, text_col, "doc_id")
-    probes = hashed.select("doc_id", F.explode(F.filter("h", lambda x: x <= F.lit(top))).alias("hash"))
-    candidates = probes.join(hint(signature.select("hash", "item_key").distinct()), "hash").groupBy("doc_id").agg(F.collect_set("item_key").alias("keys"))
+
+    def probe(size_class: int, least: int, top: int) -> Column:
+        """The hashes that matter in one partition, of documents long enough for it."""
+        low = F.transform(F.filter("h", lambda x: x <= F.lit(top)), lambda x: F.struct(F.lit(size_class).alias("size_class"), x.alias("hash")))
+        return F.when(F.size("h") * WHOLE >= least * PART, low).otherwise(F.array().cast(PROBES))
+
+    by_class = [probe(r.size_class, r.least, r.top) for r in bounds]
+    probes = hashed.select("doc_id", F.explode(F.concat(*by_class) if by_class else F.array().cast(PROBES)).alias("p")).select("doc_id", "p.*")
+    candidates = probes.join(hint(signature.select("size_class", "hash", "item_key").distinct()), ["size_class", "hash"]).groupBy("doc_id").agg(F.collect_set("item_key").alias("keys"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     chosen = texts.join(candidates, "doc_id").select("doc_id", "keys", F.array_remove(F.split(F.lower(F.coalesce(F.col("_text").cast("string"), F.lit(""))), SPACES), "").alias("_w"))
     pairs = chosen.select("doc_id", F.array_distinct(_shingles(F.col("_w"))).alias("own"), "keys").select("doc_id", "own", F.explode("keys").alias("item_key"))
@@ -77,7 +86,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[id_col].cast("long") == bad["_bad"], "left_anti")
 
 
 def op5_benchmark_containment(spark, sf_dir: str) -> DataFrame:
