@@ -1,15 +1,16 @@
 """Hierarchical multi-length packing of documents into sequences of at most 2048 tokens.
 
 Each document is tokenized and ended by one token.  Its whole 2048-token windows become sequences of their
-own; what is left over is routed to the shortest context tier (256, 512, 1024, 2048) that holds it.  Tiers
-are packed from the longest to the shortest: a window opens with the longest piece of its tier and is
-filled with the longest pieces of this or a shorter tier that still fit, and, as pieces may be cut, the
-last gap takes the head of the next piece.  So a window is full unless the partition has run out of pieces.
-Sequences of one tier are dealt in turns over step groups, longest documents first, so that a training
-step has an even load.
+own; what is left over is routed to the shortest context tier (256, 512, 1024, 2048) that holds it.  Each tier,
+from the longest to the shortest, is packed into sequences of its own length: a sequence opens with the
+longest piece of its tier, its gap is filled with the longest pieces of this or a shorter tier that fit, and, as
+pieces may be cut, the last of the gap takes the head of a short piece.  So every sequence is a full power of two,
+but for one padded sequence of each input split with what is left.
+All sequences, those of long documents too, are dealt in turns over step groups, tier by tier, so that the groups
+of one deal differ by at most one sequence in each tier, and short and long pieces are spread.
 
 Spark partitions the work by input split: each task packs its own texts in batches of bounded size and
-carries only the pieces (doc_id, start, length, CRC) of its unfinished windows.
+carries only the pieces (doc_id, start, length, CRC) of its unfinished sequences.
 
 Defined results: a null or empty text is one token, the end; repeated rows are packed each by itself; an
 empty table gives an empty result; further columns are ignored; texts of any length are cut at windows.
@@ -17,6 +18,8 @@ empty table gives an empty result; further columns are ignored; texts of any len
 
 from __future__ import annotations
 
+import bisect
+import json
 import os
 import sys
 import zlib
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Sequences of one step group.
-STEP = 64
-#: Left-over pieces that a task packs at a time.
+#: Tokens of one step group, about.
+STEP_TOKENS = 64 * LENGTH
+#: Left-over pieces and whole windows that a task packs and deals at a time.
 POOL = 20_000
 
 
@@ -58,8 +61,9 @@ def _byte_names() -> dict[str, int]:
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a BPE file of `tokenizers`.
 
-    For byte-level files whose ids follow their merges, tiktoken applies the same vocabulary several
-    times faster; it is used if it agrees on a probe, and never for texts that hold a special token.
+    For plain byte-level BPE files whose ids follow their merges, tiktoken applies the same vocabulary several
+    times faster; it is used if the file's settings are just these and it agrees on a probe, and never for
+    texts that hold a special token.
     """
 
     def __init__(self, path: str):
@@ -72,6 +76,13 @@ class Encoder:
     def _same_in_tiktoken(self):
         import tiktoken
 
+        settings = json.loads(self.tokenizer.to_str())
+        model, before = settings["model"], settings["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        split = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        merged = [model["vocab"]["".join(x if isinstance(x, list) else x.split(" "))] for x in model.get("merges", [])]
+        if not plain or not split or settings["normalizer"] or merged != sorted(merged):
+            return None
         names, ranks = _byte_names(), {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             if token not in self.special:
@@ -99,39 +110,51 @@ def tier_of(length: int) -> int:
     return next(i for i, x in enumerate(TIERS) if length <= x)
 
 
-def pack(pieces: list[tuple], final: bool) -> tuple[list[list[tuple]], list[tuple]]:
-    """Windows of exactly LENGTH tokens from pieces of (length, key), and what is left; if final, a last shorter window.
+def pack(pieces: list[tuple], final: bool) -> tuple[list[tuple], list[tuple]]:
+    """(tier, pieces) of full sequences from pieces of (length, key), and what is left; if final, a last shorter sequence.
 
     Returned pieces are (key, from, length): `from` counts from the piece's start.
     """
     tiers: list[list] = [[] for _ in TIERS]
     for length, key in sorted(pieces, key=lambda x: x[0]):
         tiers[tier_of(length)].append((length, key, 0))
-    total = sum(x[0] for x in pieces)
-    done, window, gap = [], [], LENGTH
-    while total >= LENGTH or (final and total > 0) or window:
-        # the longest piece that fits, from the tier of the gap downwards
-        top = tier_of(gap) if gap else 0
-        choice = next((t for t in range(top, -1, -1) if tiers[t] and tiers[t][-1][0] <= gap), None)
-        if choice is None:
-            choice = next((t for t in range(len(TIERS)) if tiers[t]), None)
-            if choice is None:
-                break
-        length, key, at = tiers[choice].pop()
-        part = min(length, gap)
-        window.append((key, at, part))
-        if part < length:
-            rest = length - part
-            back = tiers[tier_of(rest)]
-            back.insert(next((i for i in range(len(back) - 1, -1, -1) if back[i][0] <= rest), -1) + 1, (rest, key, at + part))
-        gap -= part
-        total -= part
-        if not gap:
-            done.append(window)
-            window, gap = [], LENGTH
-    if window:
-        done.append(window)
-    return done, [(length, (key, at)) for t in tiers for length, key, at in t]
+    tokens = [sum(x[0] for x in t) for t in tiers]
+    done = []
+
+    def take(t: int, at: int, most: int) -> tuple:
+        """Up to `most` tokens of a piece; its rest goes to the tier of its length."""
+        length, key, start = tiers[t].pop(at)
+        tokens[t] -= length
+        if length > most:
+            rest = tier_of(length - most)
+            bisect.insort(tiers[rest], (length - most, key, start + most), key=lambda x: x[0])
+            tokens[rest] += length - most
+        return key, start, min(length, most)
+
+    for tier in range(len(TIERS) - 1, -1, -1):
+        while tiers[tier] and sum(tokens[: tier + 1]) >= TIERS[tier]:
+            gap, window = TIERS[tier], []
+            while gap:
+                fits = [(t, bisect.bisect_right(tiers[t], gap, key=lambda x: x[0]) - 1) for t in range(min(tier, tier_of(gap)), -1, -1)]
+                t, at = next(((t, at) for t, at in fits if at >= 0), (None, 0))
+                if t is None:  # only longer pieces are left: the shortest is cut
+                    t = next(t for t in range(tier + 1) if tiers[t])
+                window.append(take(t, at, gap))
+                gap -= window[-1][2]
+            done.append((tier, window))
+    left = [x for t in tiers for x in t]
+    if final and left:
+        done.append((tier_of(sum(x[0] for x in left)), [(key, at, length) for length, key, at in left]))
+        left = []
+    return done, [(length, (key, at)) for length, key, at in left]
+
+
+def deal(sequences: list[tuple]) -> list[list[tuple]]:
+    """(tier, pieces) dealt over step groups: tier by tier, those of most pieces first, each tier going on where the last one ended."""
+    groups: list[list] = [[] for _ in range(max(1, round(sum(TIERS[t] for t, _ in sequences) / STEP_TOKENS)))]
+    for i, x in enumerate(sorted(sequences, key=lambda x: (-x[0], -len(x[1])))):
+        groups[i % len(groups)].append(x)
+    return groups
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -142,34 +165,34 @@ def _packer(path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(path or default_tokenizer())
         end = np.array([END_ID], dtype="<u4").tobytes()
-        base, sequence = None, 0
+        base, sequence, group = None, 0, 0
         out: list[tuple] = []
         pool: list[tuple] = []  # (length, (doc_id, start, ids, doc_tokens))
-
-        def put(window: list[tuple], tier: int) -> None:
-            nonlocal sequence
-            at = 0
-            for doc_id, start, ids, total in window:
-                length = len(ids) // 4
-                out.append((doc_id, start, length, zlib.crc32(ids), total, base + sequence, at, TIERS[tier], base + sequence // STEP))
-                at += length
-            sequence += 1
+        whole_windows: list[tuple] = []
 
         def settle(final: bool) -> None:
-            nonlocal pool
-            windows, left = pack([(x[0], i) for i, x in enumerate(pool)], final)
+            nonlocal pool, sequence, group
+            packed, left = pack([(x[0], i) for i, x in enumerate(pool)], final)
 
             def piece(i: int, at: int, n: int) -> tuple:
                 doc_id, start, ids, total = pool[i][1]
-                return doc_id, start + at, ids[4 * at : 4 * (at + n)], total
-
-            whole = sorted(([piece(*x) for x in w] for w in windows), key=lambda w: -max(len(x[2]) for x in w))
-            # deal the windows in turns, so that each step group gets long and short pieces alike
-            groups = max(1, len(whole) // STEP)
-            for j in range(groups):
-                for w in whole[j::groups]:
-                    put(w, tier_of(max(len(x[2]) // 4 for x in w)))
-            pool = [(n, piece(i, at, n)) for n, (i, at) in left]
+                return doc_id, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total
+
+            every = whole_windows + [(tier, [piece(*x) for x in window]) for tier, window in packed]
+            whole_windows.clear()
+            for dealt in deal(every) if every else []:
+                for tier, window in dealt:
+                    at = 0
+                    for doc_id, start, length, crc, total in window:
+                        out.append((doc_id, start, length, crc, total, base + sequence, at, TIERS[tier], base + group))
+                        at += length
+                    sequence += 1
+                group += 1
+            rest = []
+            for n, (i, at) in left:
+                doc_id, start, ids, total = pool[i][1]
+                rest.append((n, (doc_id, start + at, ids[4 * at : 4 * (at + n)], total)))
+            pool = rest
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
@@ -184,10 +207,10 @@ def _packer(path: str | None):
                 total = len(ids) // 4
                 whole = total - total % LENGTH
                 for at in range(0, whole, LENGTH):
-                    put([(doc_id, at, ids[4 * at : 4 * (at + LENGTH)], total)], len(TIERS) - 1)
+                    whole_windows.append((len(TIERS) - 1, [(doc_id, at, LENGTH, zlib.crc32(ids[4 * at : 4 * (at + LENGTH)]), total)]))
                 if whole < total:
                     pool.append((total - whole, (doc_id, whole, ids[4 * whole :], total)))
-                if len(pool) >= POOL:
+                if len(pool) + len(whole_windows) >= POOL:
                     settle(False)
                 if len(out) >= 50_000:
                     yield flush()
@@ -202,7 +225,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """One row for each piece: where it comes from, the CRC-32 of its ids, and where it stands.
 
     `tokenizer`: a path on every executor; None for the public byte-level BPE.  sequence_id is the input
-    split's number << 40 plus a running number in it; tier is the tier of the window's longest piece.
+    split's number << 40 plus a running number in it, and so is step_group; tier is the length of the sequence, or of
+    the tier that holds a padded one.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
     return narrow.mapInArrow(_packer(tokenizer), SCHEMA)
