@@ -1,9 +1,10 @@
 """WARC archives: writing through Spark's text sink, and a reader that salvages damaged files.
 
 Writing: one record for each page.  Pages of equal payload of at least 1000 bytes keep one response (the
-largest page_id); the others become revisit records that refer to it.  Records end in CR LF CR LF, which is
-the line separator given to the text sink, so the files are written by Spark's own commit protocol to any
-store, gzip-compressed and bounded in records each.
+largest page_id); the others become revisit records that refer to it.  Each record is a gzip member of its own,
+as the format advises, so damage costs one record.  The members go as bytes through the text sink, whose line
+separator is an empty member, so the files are written by Spark's own commit protocol to any store, bounded in
+records each.
 
 Reading: whole bounded files, one after another.  A record is checked by its version line, its header block,
 its Content-Length, its closing blank lines and its payload digest.  After a failed check the reader looks
@@ -17,6 +18,7 @@ them are percent-encoded; a null id is written as an empty id and read back as n
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -70,9 +72,17 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(F.concat(head, F.when(again, F.lit("")).otherwise(F.col("_html"))).alias("value"))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [gzip.compress(x.as_py().encode() + END, 6, mtime=0) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
-    out = records(pages, **columns).write.mode("errorifexists").option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file)
-    out.option("compression", "gzip").text(path)
+    members = records(pages, **columns).mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+    nothing = gzip.compress(b"", mtime=0).decode("latin-1")
+    out = members.write.mode("errorifexists").option("encoding", "ISO-8859-1").option("lineSep", nothing)
+    out.option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _inflate(raw: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
@@ -205,3 +215,10 @@ def op8_warc_salvage(spark, sf_dir: str) -> DataFrame:
         "record_type",
         page_of("refers_to").alias("refers_to"),
     )
+
+
+#: The whole contract in DuckDB SQL.
+SQL = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to FROM g"""
