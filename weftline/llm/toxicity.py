@@ -89,7 +89,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col
     share = min(1.0, rows / max(1, known.count()))
     few = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # at most about FIT_ROWS pairs of integers
-    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select("label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("text").agg(F.round(F.avg("label")).cast("long").alias("label"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(few), "_id").groupBy("text").agg(F.round(F.avg("label")).cast("long").alias("label"))
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
