@@ -22,7 +22,7 @@ def corpus():
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passage = text(60)
     base = [text(n) for n in (3, 5, 12, 13, 80, 120, 200, 300)]
-    texts = [*base, base[5], base[6] + " extra words", base[6].replace(" ", "\n", 5), "x y " + passage + " " + text(20), text(30) + "\n" + passage, passage, base[2], None, "", "  \n ", "A B C D E f", "a b c d e F", "line one two\n" * 9]
+    texts = [*base, base[5], base[6] + " extra words", base[6].replace(" ", "\n", 5), "x y " + passage + " " + text(20), text(30) + "\n" + passage, passage, base[2], None, "", "  \n ", "A B C D E f", "a b c d e F", "line one two\n" * 9, "# a * b\n$ 5 % & | <x>\n# a * b\n\x0b\n\x0b"]
     near = base[7].split()
     near[10] = "changed"
     return [*texts, " ".join(near), base[5] + " " + base[5]]
@@ -134,7 +134,7 @@ def test_base_rules(spark):
         repeated = {x for v in at.values() if len(v) > 1 for j in v for x in range(j, j + 5)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(repeated), failed, not failed)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (len(w), sum(map(len, w)), sum(x in '#*$%&|<>' for x in t), len(lines) - len(set(lines)), len(repeated), failed, not failed)
 
 
 def test_decontamination(spark):
@@ -164,7 +164,8 @@ def test_packing(spark):
             assert r.offset == at
             at += r.length
         used[at] += 1
-    assert max(used) <= 2048 and sum(n for x, n in used.items() if x < 2048) <= 8
+    # all sequences are full, but for one of each input split
+    assert set(packing.TIERS) >= {x for x in used if x & (x - 1) == 0 and x >= 256} and sum(n for x, n in used.items() if x not in packing.TIERS) <= 8
 
 
 def test_url_rules(spark):

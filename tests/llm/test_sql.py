@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.01"
 def test_same_rows(spark, name):
     df = registry.QUERIES[name](spark, DATA)
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     there = c.execute(registry.SQL[name])
     columns = sorted(x[0] for x in there.description)

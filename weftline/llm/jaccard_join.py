@@ -385,7 +385,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with all their columns; of rows that share that id, and of rows without an id, all stay."""
     others = joined(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs[id_col].cast("long") == F.col("_other"), "left_anti")
+    return docs.join(others, docs[id_col].cast("long") == others["_other"], "left_anti")
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

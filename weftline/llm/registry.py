@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftline.llm import decontaminate, oracles
+from weftline.llm import decontaminate, oracles, url_rules, warc
 from weftline.llm.decontaminate import op5_benchmark_containment
 from weftline.llm.fm_quality import op9_factorisation_machine
 from weftline.llm.jaccard_join import op4_ngram_jaccard_join
-from weftline.llm.llr_quality import op2_llr_quality
+from weftline.llm.llr_quality import op2_llr_quality, quality_base_columns
 from weftline.llm.packing import op6_hierarchical_packing
 from weftline.llm.substring_dedup import op3_substring_dedup
 from weftline.llm.suffix_dedup import op10_suffix_array_dedup
 from weftline.llm.toxicity import op1_toxicity_ordinal
-from weftline.llm.url_rules import op7_url_association_rules
+from weftline.llm.url_rules import op7_url_association_rules, url_fixed_rules
 from weftline.llm.warc import op8_warc_salvage
 
 QUERIES: dict[str, Callable] = {
@@ -27,10 +27,16 @@ QUERIES: dict[str, Callable] = {
     "op8_warc_salvage": op8_warc_salvage,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "quality_base_columns": quality_base_columns,
+    "url_fixed_rules": url_fixed_rules,
 }
 
 SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_ngram_jaccard_join": oracles.JACCARD_JOIN,
     "op5_benchmark_containment": decontaminate.SQL,
+    "op8_warc_salvage": warc.SQL,
+    "op10_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "quality_base_columns": oracles.QUALITY_BASE,
+    "url_fixed_rules": url_rules.FIXED_SQL,
 }

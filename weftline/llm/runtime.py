@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_weftline_folder", None) or tempfile.mkdtemp(prefix="spark-")
         spark._weftline_folder = folder
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,14 +37,3 @@ def cut(make: Callable[[], DataFrame]) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def null_safe_columns(df: DataFrame, *reserved: str) -> None:
-    """Columns that the operator adds must not be there already."""
-    clash = sorted(set(reserved) & set(df.columns))
-    if clash:
-        raise ValueError(f"columns {clash} exist already; rename them or choose other output names")
