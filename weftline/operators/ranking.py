@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,23 +20,61 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return words.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == term))
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc_len) in words."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).alias("doc_len"))
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "overwrite") -> None:
+    """The full-text index as two tables: postings in term order, so that a search reads the row groups of its terms, and lengths."""
+    postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
+    lengths(docs, id_col, text_col).write.mode(mode).parquet(f"{path}/lengths")
+
+
+def fold_new(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Documents that the index lacks are added to it; those that it has are left as they are."""
+    have = docs.sparkSession.read.parquet(f"{path}/lengths").select(F.col("doc_id").alias(id_col))
+    write_index(docs.join(have, id_col, "left_anti"), path, id_col, text_col, "append")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(doc_id, score) by BM25 over a written index; only postings of the terms are read, and lengths for the statistics."""
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*terms))
+    stats = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean"))
+    return _scores(hits, stats)
+
+
+def _scores(hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """hits: (doc_id, doc_len, term, tf) of the terms asked for; stats: one row."""
+    held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row for each term asked for
+    tf, df, n = F.col("tf"), F.col("df"), F.col("n")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
+    joined = hits.join(F.broadcast(held), "term").join(F.broadcast(stats))
+    return joined.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of the documents with any of the terms; terms are filtered before anything moves."""
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    size = F.size("w")
-    found = words.select("doc_id", size.alias("len"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0)
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return found.where(hit).join(F.broadcast(stats)).select("doc_id", F.round(score, 9).alias("score"))  # stats: one row
+    """(doc_id, score) of the documents with any of the terms, without a written index.
+
+    Texts are split once: rows without any of the terms are counted for the statistics by length alone.
+    """
+    low = F.lower(text_col)
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    # a text that does not even hold a term as a substring can't hold it as a word
+    maybe = F.coalesce(F.greatest(*[F.contains(low, F.lit(t)) for t in terms]) if len(terms) > 1 else F.contains(low, F.lit(terms[0])) if terms else F.lit(False), F.lit(False))
+    hits = docs.where(maybe).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
+    hits = hits.select("doc_id", F.size("w").alias("doc_len"), F.explode(F.filter("w", lambda x: F.array_contains(wanted, x))).alias("term"))
+    hits = hits.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = F.split(F.col(text_col), r"[^\p{L}\p{N}_]+")
+    length = F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(text_col).isNotNull(), length)).alias("mean"))
+    return _scores(hits, stats)
+
+
+def reciprocal(df: DataFrame, weight: float, *by: Column) -> DataFrame:
+    """Adds `part`, weight / (60 + rank), ranks from 0; for short lists such as a top-k."""
+    return df.withColumn("part", F.lit(weight) / (RRF_K + F.row_number().over(W.orderBy(*by)) - 1))
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -52,7 +90,7 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, order: list[list[Column
     """Reciprocal-rank fusion: sum of weight / (60 + rank) over ranked lists, ranks from 0."""
     ranked = None
     for (df, weight), by in zip(lists, order, strict=True):
-        part = df.select(F.col(key), (F.lit(weight) / (RRF_K + F.row_number().over(W.orderBy(*by)) - 1)).alias("part"))
+        part = reciprocal(df, weight, *by).select(key, "part")
         ranked = part if ranked is None else ranked.unionByName(part)
     return ranked.groupBy(key).agg(F.round(F.sum("part"), 9).alias("score"))
 
@@ -69,15 +107,19 @@ def head(ranked: DataFrame, kind: str, score: str, key: str, k: int, most: int =
     best event's score.  Pages come in score order, so a page's rank tells how many were taken before it.
     """
     event = F.col(kind) == "event"
-    best = ranked.agg(F.coalesce(F.max(F.when(event, F.col(score))), F.lit(0.0)).alias("_best"), F.count_if(event).alias("_events"))
+    best = ranked.agg(F.coalesce(F.max(F.when(event, F.col(score))), F.lit(0.0)).alias("_best"))
     by = [F.desc(score), F.when(event, 0).otherwise(1), F.col(key)]
-    placed = ranked.join(F.broadcast(best)).withColumn("_at", F.row_number().over(W.partitionBy(kind).orderBy(*by)))  # best: one row
-    above = F.col(score) > F.col("_best")
-    earned = ~event & (above | ((F.col("_at") <= most) & (F.col(score) >= share * F.col("_best"))))
-    tier = F.when(event & (F.col("_at") <= k), 0).when(earned, 0).when(~event, 1)
-    told = placed.withColumn("_tier", tier).where("_tier is not null")
+    events = ranked.where(event).orderBy(*by).limit(k).withColumn("_tier", F.lit(0))
+    # a page's rank matters only among the first `most`; pages above the best event are a filter
+    scored = ranked.where(~event).join(F.broadcast(best))  # best: one row
+    above = scored.where(F.col(score) > F.col("_best")).withColumn("_tier", F.lit(0))
+    below = scored.where(F.col(score) <= F.col("_best")).orderBy(*by).limit(k + most)
+    seats = above.agg(F.greatest(F.lit(0), F.lit(most) - F.count(F.lit(1))).alias("_seats"))
+    placed = below.withColumn("_at", F.row_number().over(W.orderBy(*by))).join(F.broadcast(seats))  # k + most rows
+    earned = (F.col("_at") <= F.col("_seats")) & (F.col(score) >= share * F.col("_best"))
+    below = placed.withColumn("_tier", F.when(earned, 0).otherwise(1))
+    told = events.unionByName(above.select(*ranked.columns, "_tier")).unionByName(below.select(*ranked.columns, "_tier"))
     first = told.agg(F.count_if(F.col("_tier") == 0).alias("_n"))
-    # of the rest at most k rows can be taken
     rest = told.where("_tier = 1").orderBy(*by).limit(k)
     out = told.where("_tier = 0").unionByName(rest).withColumn("place", F.row_number().over(W.orderBy("_tier", *by)).cast("long"))
     return out.join(F.broadcast(first)).where(F.col("place") <= F.greatest(F.lit(k), F.col("_n"))).select(*ranked.columns, "place")

@@ -16,12 +16,20 @@ def stratify(df: DataFrame, group: str, order: list[Column], key: str, most: int
     return ranked.join(F.broadcast(heads), group).orderBy("pick", "group_rank", key).limit(most)
 
 
+def is_mark(at: Column, n: Column, wanted: Column) -> Column:
+    """Whether place `at` of n is one of `wanted` places at even distances, first and last included; a single one is the middle."""
+    place = lambda i: F.bround(i * (n - 1) / F.greatest(wanted - 1, F.lit(1)), 0)
+    # the only i whose place can be `at` is the nearest one, or a neighbour where distances round
+    near = F.floor(at * (wanted - 1) / F.greatest(n - 1, F.lit(1)))
+    hit = F.exists(F.sequence(F.lit(-1), F.lit(2)), lambda d: (near + d >= 0) & (near + d < wanted) & (place(near + d) == at))
+    return F.when(n <= wanted, True).when(wanted <= 0, False).when(wanted == 1, at == F.floor(n / 2)).otherwise(hit)
+
+
 def evenly_spaced(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """n rows of each group at even distances, first and last included; all rows of smaller groups."""
+    """n rows of each group at even distances; all rows of smaller groups."""
     w = W.partitionBy(group)
     ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    marks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(n - 1, 1)), 0).cast("int"))
-    return ranked.where((F.col("_n") <= n) | F.array_contains(marks, F.col("_i"))).drop("_i", "_n")
+    return ranked.where(is_mark(F.col("_i"), F.col("_n"), F.lit(n))).drop("_i", "_n")
 
 
 def horizon(ts: Column, now: Column) -> Column:
@@ -46,46 +54,44 @@ def clipped(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 2)), F.lit(" …")))
 
 
+def fitting(sizes: Column, budget: Column) -> Column:
+    """(left, taken) of a fold over an ordered array of (size, ...): an item is taken if it fits in what is left, else skipped."""
+    start = F.struct(budget.cast("long").alias("left"), F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["size"] <= s["left"]
+        return F.struct(
+            F.when(fits, s["left"] - x["size"]).otherwise(s["left"]).cast("long").alias("left"),
+            (s["at"] + 1).cast("long").alias("at"),
+            F.when(fits, F.array_append(s["taken"], s["at"])).otherwise(s["taken"]).alias("taken"),
+        )
+
+    return F.aggregate(sizes, start, step)
+
+
 def within_budget(turns: DataFrame, group: str, order: list[str], role: str, text: str, budget: int = 6000, most: int = 700) -> DataFrame:
     """The turns of each group that a reader with a character budget sees: (group, order, role, text).
 
-    Every turn is clipped.  User turns come first, thinned evenly where all together are over the budget; what
-    is left goes to assistant turns at even distances.  A turn that does not fit is skipped, later ones may fit.
-    The choice is a fold in order, so it runs per group on sizes alone; texts are joined back by key.
+    Every turn is clipped and costs its length and one.  User turns come first, thinned evenly where all together
+    are over the budget; what is left goes to assistant turns at even distances.  A turn that does not fit is
+    skipped, later ones may fit.  Thinning is a rank against the group's totals, so what is folded is bounded by
+    the budget; only sizes and keys are folded, texts are joined back.
     """
-    from decimal import ROUND_HALF_EVEN, Decimal
-
-    import pandas as pd
-
-    def spaced(n: int, of: int) -> list[int]:
-        if n >= of:
-            return list(range(of))
-        if n <= 1:
-            return [of // 2] * n
-        return sorted({int(Decimal(i * (of - 1) / (n - 1)).quantize(Decimal(1), ROUND_HALF_EVEN)) for i in range(n)})
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        left, taken = budget, []
-        for who in ("user", "assistant"):
-            mine = rows[rows["_role"] == who]
-            total = int(mine["_size"].sum())
-            if not len(mine) or (who == "assistant" and left <= 0):
-                continue
-            n = len(mine)
-            if who == "assistant":
-                n = min(n, int(left // (total / n)))
-            elif total > budget:
-                n = max(1, int(budget // (total / n)))
-            for i in spaced(n, len(mine)):
-                size = int(mine["_size"].iat[i])
-                if size <= left:
-                    taken.append(mine.index[i])
-                    left -= size
-        return rows.loc[taken, [group, *order]]
-
     said = turns.select(group, *order, F.col(role).alias("_role"), clipped(F.trim(F.coalesce(F.col(text), F.lit(""))), most).alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in said.schema}
-    sizes = said.where("_role in ('user', 'assistant')").select(group, *order, "_role", (F.length("_text") + 1).alias("_size"))
-    chosen = sizes.groupBy(group).applyInPandas(choose, ", ".join(f"{c} {kinds[c]}" for c in (group, *order)))
+    sizes = said.where("_role in ('user', 'assistant')").select(group, *order, "_role", (F.length("_text") + 1).alias("size"))
+    w = W.partitionBy(group, "_role")
+    ranked = sizes.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_sum", F.sum("size").over(w))
+
+    def folded(rows: DataFrame, wanted: Column, left: Column) -> DataFrame:
+        thin = rows.where(is_mark(F.col("_i"), F.col("_n"), wanted))
+        listed = thin.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_i", "size", *order))).alias("_list"), F.first(left).alias("_left"))
+        return listed.select(group, "_list", fitting(F.col("_list"), F.col("_left")).alias("_fold"))
+
+    mean = F.col("_sum") / F.col("_n")
+    asked = F.when(F.col("_sum") <= budget, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor(budget / mean)))
+    users = folded(ranked.where("_role = 'user'"), asked, F.lit(budget))
+    rest = ranked.where("_role = 'assistant'").join(users.select(group, F.col("_fold.left").alias("_rest")), group, "left").withColumn("_rest", F.coalesce("_rest", F.lit(budget))).where("_rest > 0")
+    answers = folded(rest, F.least(F.col("_n"), F.floor(F.col("_rest") / mean)), F.col("_rest"))
+    taken = users.unionByName(answers).select(group, F.explode(F.transform("_fold.taken", lambda i: F.get(F.col("_list"), i.cast("int")))).alias("_x"))
+    chosen = taken.select(group, *[F.col(f"_x.{c}").alias(c) for c in order])
     return said.join(chosen, [group, *order], "left_semi").select(group, *order, F.col("_role").alias(role), F.col("_text").alias(text))
