@@ -24,12 +24,15 @@ def test_truncate_keeps_characters_whole(spark):
 
 
 def test_flattened_content(spark):
-    nested = [{"type": "text", "text": "one"}, {"type": "tool_use", "name": "run"}, {"type": "tool_result", "content": [{"type": "text", "text": "two"}]}, 3]
-    df = spark.createDataFrame([(json.dumps(nested),), ('"plain"',), ("{bad",), (None,)], "c string")
-    assert [(r.r.text, r.r.tools) for r in df.select(flattened("c").alias("r")).collect()] == [("one\ntwo", ["run"]), ("plain", []), ("", []), ("", [])]
+    nested = [{"type": "text", "text": "one"}, {"type": "tool_use", "name": "run"}, {"type": "tool_result", "content": [{"type": "text", "text": "two"}]}]
+    long = [{"type": "text", "text": "x" * 8001}, {"type": "text", "text": "unread"}, {"type": "tool_use", "name": "unread"}]
+    df = spark.createDataFrame([(json.dumps(nested),), ('"plain"',), ("{bad",), (None,), (json.dumps([*nested, 3]),), (json.dumps(long),), ('{"type": "text"}',)], "c string")
+    got = [(r.r.text, r.r.tools) for r in df.select(flattened("c").alias("r")).collect()]
+    # one block that is no object voids the array
+    assert got == [("one\ntwo", ["run"]), ("plain", []), ("", []), ("", []), ("", []), ("x" * 8001, []), ("", [])]
 
 
-@pytest.mark.parametrize("bad", ["a; drop", "a -- b", "a /* b", "repeat(a, 3) = 'x'", "a in (select 1)", "x" * 2001])
+@pytest.mark.parametrize("bad", ["a; drop", "a -- b", "a /* b", "repeat(a, 3) = 'x'", "a in (select 1)", "x" * 2001, "`repeat`(a, 3) = 'xxx'", "a = '\\'' or repeat('x',9) = 'xxxxxxxxx'", "length(érepeat(a, 2)) > 1", "length(日repeat(a, 2)) > 1", "random() > 0.5", 'a = "b"', "a = 'open", "transform(a, x -> x)"])
 def test_sandbox_refuses(bad):
     with pytest.raises(ValueError):
         sandbox.predicate(bad)
@@ -38,14 +41,25 @@ def test_sandbox_refuses(bad):
 def test_sandbox_allows_literals(spark):
     df = spark.createDataFrame([("repeat(;--",), ("b",)], "a string")
     assert df.where(sandbox.predicate("starts_with(a, 'repeat(;--')")).count() == 1
+    assert df.where(sandbox.predicate("lower(a) = 'b' AND length(a) >= 1 and a IN ('b', 'it''s; fine')")).count() == 1
+    assert df.where(sandbox.predicate("regexp_match(a, 'b') and not a like '%--x%' and a <> 'é日'")).count() == 1
+    assert df.where(sandbox.predicate("  ")).count() == 2 and sandbox.columns("a, ,b") == ["a", "b"]
     assert sandbox.admin_limit("Infinity") == 500 and sandbox.admin_limit("abc") == 50 and sandbox.admin_limit(100000) == 500
     assert sandbox.console_limit(1000, 30, 200) == 30
 
 
 def test_markdown_sections():
-    text = "---\na: b\n---\nintro\n## One\n````\n## not\n```\n````\nx\n## One\ny"
-    assert markdown.split_sections(text) == [("", "intro"), ("One", "````\n## not\n```\n````\nx"), ("One", "y")]
-    assert all(len(x) <= 10 for x in markdown.parts("abc\n\n" * 9, 10))
+    text = "---\ntitle: 'T'\ntags: [a, b]\ndescription: what\nlist:\n- x\n---\nintro\n# Head\n## One\n````\n## not\n```\n````\nx\n```a`b\n## One\ny\n## one!\nz"
+    fields, body = markdown.header(text)
+    assert fields == {"title": "T", "tags": ["a", "b"], "description": "what", "list": ["x"]}
+    assert markdown.split_sections(body) == ("Head", [("", "intro\n# Head"), ("One", "## One\n````\n## not\n```\n````\nx\n```a`b"), ("One", "## One\ny"), ("one!", "## one!\nz")])
+    rows = list(markdown.page("notes/n.md", text))
+    assert [r[3] for r in rows] == ["", "one", "one~dup2", "one~dup3"] and rows[0][6] == "what\n\nintro\n# Head" and {r[1] for r in rows} == {"T"} and {r[4] for r in rows} == {"a,b"}
+    long = "## Head\n\n" + "p" * 4000 + "\n\ntail"
+    got = markdown.parts(long)
+    assert got == ["## Head\n\n" + "p" * 1800, "p" * 1800, "p" * 400 + "\n\ntail"]
+    assert markdown.parts("## A\n\n" + "## B\n\n" * 400) == [("## A\n\n" + "## B\n\n" * 400).strip()] or len(markdown.parts("## A\n\n" + "## B\n\n" * 400)) == 1
+    assert [markdown.slug(x) for x in ("Foo, Bar_baz", "Čas ok", "!!")] == ["foo-bar-baz", "čas-ok", "section"]
 
 
 def _line(uuid, ts, role, text, **more):

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from weftline.plans import console, digest  # noqa: F401  digest adds its queries to those of console
+from weftline.plans import console, digest, retrieval, store  # noqa: F401  the others add their queries to those of console
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -49,7 +49,7 @@ def fenced(tag: Column, number: Column, meta: Column, text: Column, most: int) -
     """`<tag n=… meta>`, the quoted text and its closing tag; nothing in the text can close it."""
     body = F.replace(F.trim(text), F.lit("\r"), F.lit(""))
     body = F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit(" …"))).otherwise(body)
-    body = F.regexp_replace(body, r"<(?=/(?:event|doc|context|digest)>)", r"<\\\\")
+    body = F.regexp_replace(body, r"<(?=/(?:event|doc|context|digest)>)", r"<\\")
     quoted = without_instructions(roles_marked(body))
     n = quoted["dropped"]
     note = F.when(n > 0, F.concat(F.lit("\n["), n.cast("string"), F.when(n > 1, F.lit(" instruction-like lines omitted]")).otherwise(F.lit(" instruction-like line omitted]")))).otherwise(F.lit(""))

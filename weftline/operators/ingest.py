@@ -1,11 +1,20 @@
-"""Replay-safe ingest: first writer wins by uuid, session folds over inserted rows, ledger of touched weeks."""
+"""Replay-safe ingest: first writer wins by uuid, session folds over inserted rows, ledger of touched weeks.
+
+apply() chains the parts into one step over a batch of events and the stored tables; follow() runs it for each
+micro-batch of a stream.  A batch that is replayed changes nothing: events are known by uuid, offsets by
+compare-and-set, and a batch whose snapshot is there already is skipped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+TABLES = ("events", "sessions", "projects", "session_weeks", "import_runs")
+
 
 def new_events(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     """The rows of a batch that are inserted: the first of each uuid, if none is stored."""
@@ -82,3 +91,102 @@ def refused_files(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 def runs(summary: DataFrame) -> DataFrame:
     """The import runs to append: something was inserted, the offset moved, or the session is new."""
     return summary.where((F.col("inserted") > 0) | (F.col("to_offset") != F.col("from_offset")) | F.col("created"))
+
+
+def usable(raw: DataFrame) -> Column:
+    """Rows with a uuid and a time; others are skipped and counted."""
+    return (F.coalesce("uuid", F.lit("")) != "") & F.col("ts").isNotNull()
+
+
+def shortest_cwd(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """(project, cwd, name): the shortest directory ever seen, the first at a tie, named by its last part."""
+    seen = events.where("cwd <> ''").groupBy("project").agg(F.min_by("cwd", F.struct(F.length("cwd"), F.col("path"), F.col("line_no"))).alias("new"))
+    joined = stored.select("project", F.col("cwd").alias("old")).join(seen, "project", "full_outer")
+    old, new = F.coalesce("old", F.lit("")), F.coalesce("new", F.lit(""))
+    cwd = F.when((old == "") | ((new != "") & (F.length(new) < F.length(old))), new).otherwise(old)
+    return joined.select("project", cwd.alias("cwd")).withColumn("name", F.element_at(F.split("cwd", "/"), -1))
+
+
+def apply(batch: DataFrame, stored: dict[str, DataFrame] | None = None, now: Column | None = None) -> dict[str, DataFrame]:
+    """The tables after a batch of events, and its `report` of one row for each file.
+
+    batch: (path, project, session, uuid, ts, iso_week, role, text, tools, model, cwd, git_branch, line_no, end_offset), where
+    line_no orders the lines of a file and end_offset is where a line ends.  A session belongs to the file that brought
+    it first; lines at or before a session's stored offset are replays and are skipped by uuid.
+    """
+    stored = stored or {}
+    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+    files = batch.groupBy("session", "path").agg(F.first("project").alias("project"), F.count(F.lit(1)).alias("lines"), F.count_if(~usable(batch)).alias("skipped"), F.max("end_offset").alias("to_offset"))
+    held = stored["sessions"].select("session", F.col("path").alias("held_by"), F.col("byte_offset").alias("from_offset")) if stored else None
+    if held is None:
+        held = files.groupBy("session").agg(F.min("path").alias("held_by")).withColumn("from_offset", F.lit(None).cast("long"))
+    else:  # new sessions go to the first of their files
+        first = files.join(held, "session", "left_anti").groupBy("session").agg(F.min("path").alias("held_by")).withColumn("from_offset", F.lit(None).cast("long"))
+        held = held.unionByName(first)
+    claims = files.join(held, "session").withColumn("accepted", F.col("held_by") == F.col("path"))
+    taken = batch.join(claims.where("accepted").select("session", "path"), ["session", "path"], "left_semi").where(usable(batch))
+    inserted = new_events(taken, stored.get("events"))
+    events = inserted if not stored else stored["events"].unionByName(inserted.select(*stored["events"].columns))
+    folded = fold_sessions(inserted, stored.get("sessions"))
+    owners = claims.where("accepted").select("session", "path", "project", F.greatest(F.coalesce("from_offset", F.lit(0)), "to_offset").alias("byte_offset"))
+    if stored:
+        known = stored["sessions"].select("session", "path", "project", "byte_offset")
+        owners = upsert(known, owners, ["session"])
+    # a session whose lines were all replays keeps its attributes, one without any event has none yet
+    sessions = owners.join(folded, "session", "left")
+    projects = shortest_cwd(stored["projects"] if stored else batch.select("project", F.lit("").alias("cwd")).distinct(), taken)
+    weeks = touched_ledger(events, inserted)
+    weeks = weeks if not stored else upsert(stored["session_weeks"], weeks, ["session", "iso_week"])
+    counts = inserted.groupBy("session", "path").agg(F.count(F.lit(1)).alias("inserted"))
+    report = claims.join(counts, ["session", "path"], "left").select("session", "path", "project", "accepted", F.col("from_offset").isNull().alias("created"), F.coalesce("from_offset", F.lit(0).cast("long")).alias("from_offset"), "to_offset", "lines", F.coalesce("inserted", F.lit(0).cast("long")).alias("inserted"), "skipped")
+    new_runs = runs(report.where("accepted")).drop("accepted", "created", "path").withColumn("created", now)
+    return {
+        "events": events,
+        "sessions": sessions,
+        "projects": projects,
+        "session_weeks": weeks,
+        "import_runs": new_runs if not stored else stored["import_runs"].unionByName(new_runs),
+        "report": report,
+    }
+
+
+def retained(table: DataFrame, cutoff: Column, created: str = "created") -> DataFrame:
+    """Rows not older than the cutoff, and those without a time."""
+    return table.where(F.col(created).isNull() | (F.col(created) >= cutoff))
+
+
+def without_ids(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def tail_state(sessions: DataFrame) -> DataFrame:
+    """What a reader of files must know to go on: (path, byte_offset, session)."""
+    return sessions.select("path", "byte_offset", "session")
+
+
+def snapshot(spark: SparkSession, folder: str, batch: int) -> dict[str, DataFrame] | None:
+    """The tables that a batch left, or None if there was none before."""
+    if batch < 0:
+        return None
+    return {t: spark.read.parquet(f"{folder}/{t}/batch={batch}") for t in TABLES}
+
+
+def follow(events: DataFrame, folder: str, checkpoint: str, published: Callable[[DataFrame, int], None] | None = None):
+    """A stream writer that applies each micro-batch and writes the tables it leaves as a snapshot of the batch's number.
+
+    Spark gives a replayed batch the same number and the same rows, and the snapshot before it is the same, so writing it
+    again gives the same tables: the effect is exactly once.  There is no watermark: an event of any age goes to
+    the week it belongs to.  `published` gets the batch's report after its tables are written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        out = apply(batch, snapshot(spark, folder, number - 1))
+        for t in TABLES:
+            out[t].write.mode("overwrite").parquet(f"{folder}/{t}/batch={number}")
+        if published:
+            published(out["report"], number)
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -100,7 +100,7 @@ def context(hits: DataFrame, budget: int = BUDGET, most: int = SNIPPET_CHARS) ->
     skipped, later ones may fit; the very first piece is cut rather than left out.  Hits are the few rows of a head().
     """
     tag = F.when(F.col("kind") == "wiki", F.lit("doc")).otherwise(F.lit("event"))
-    meta = F.array_join(F.transform("meta", safe_meta), " · ")
+    meta = F.array_join(F.transform("meta", lambda x: safe_meta(x)), " · ")
     pieces = hits.select("n", "kind", fenced(tag, F.col("n"), meta, F.col("text"), most).alias("piece"))
     rows = pieces.agg(F.sort_array(F.collect_list(F.struct("n", (F.col("kind") == "wiki").alias("doc"), F.length("piece").alias("size")))).alias("rows"))
     docs = F.aggregate(F.col("rows"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["doc"], x["size"]).otherwise(0))

@@ -339,12 +339,7 @@ def truncate_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (cut != F.col("text")).alias("cut"), F.when(cut == F.col("text"), F.length(cut)).cast("long").alias("whole_chars"))
 
 
-@query("instruction_lines", r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\s*(Licensed|TOKEN)\b'))) AS dropped FROM documents")
-def instruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*(Licensed|TOKEN)\b"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("dropped"))
-
-
 @query("markdown_sections")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: every section and part of them; rules are tested on fixtures."""
     return markdown.sections(table(spark, sf_dir, "documents"), "doc_id", "text")

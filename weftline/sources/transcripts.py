@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from weftline.functions.text import flattened, truncated
 from weftline.functions.times import DEFAULT_ZONE, iso_week
@@ -18,17 +19,22 @@ LINE = T.StructType(
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
-    """(path, line_no, value) of all *.jsonl files below root, folders named memory left out; an unfinished last line is held back."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    text = F.col("content").cast("string")
-    whole = F.substring_index(text, "\n", -1)
-    done = F.when(F.length(whole) == 0, text).otherwise(F.expr("substring(cast(content as string), 1, length(cast(content as string)) - length(substring_index(cast(content as string), '\n', -1)))"))
-    kept = files.where(~F.col("path").contains("/memory/")).select("path", F.posexplode(F.split(done, "\n")).alias("at", "value"))
-    return kept.where("value <> ''").select("path", (F.col("at") + 1).cast("long").alias("line_no"), "value")
+    """(path, line_no, end_offset, value) of all *.jsonl files below root, folders named memory left out.
+
+    Files are read as lines in splits, so none has to fit a task.  A line's end is the running sum of the bytes before
+    it; one that would end beyond its file has no line break yet and is held back.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    placed = raw.select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
+    placed = placed.where(~F.col("file_path").contains("/memory/"))
+    by = W.partitionBy("file_path").orderBy("file_block_start", "_at")
+    end = F.sum(F.octet_length("value") + 1).over(by).cast("long")
+    numbered = placed.withColumn("line_no", F.row_number().over(by).cast("long")).withColumn("end_offset", end)
+    return numbered.where("end_offset <= file_size and trim(value) <> ''").select(F.col("file_path").alias("path"), "line_no", "end_offset", "value")
 
 
 def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
-    """Typed events of raw lines (path, line_no, value); lines without uuid or a valid time are left out."""
+    """Typed events of raw lines (path, line_no, value[, end_offset]); lines without uuid or a valid time are left out."""
     line = F.from_json(F.trim("value"), LINE, {"mode": "PERMISSIVE"})
     df = raw.where(F.trim("value").startswith("{")).withColumn("j", line)
     ts = F.try_to_timestamp(F.col("j.timestamp"))
@@ -54,6 +60,7 @@ def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
         F.coalesce("j.isSidechain", F.lit(False)).alias("sidechain"),
         "line_no",
         F.octet_length(F.trim("value")).cast("long").alias("raw_bytes"),
+        *(["end_offset"] if "end_offset" in raw.columns else []),
     )
 
 
@@ -70,3 +77,33 @@ def session_id(path: Column) -> Column:
     folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     dashes = F.length(stem) - F.length(F.replace(stem, F.lit("-"), F.lit("")))
     return F.when((F.length(stem) >= 32) & (dashes >= 4), stem).otherwise(F.concat_ws("@", stem, folder))
+
+
+def origin(path: Column, root: str) -> Column:
+    """(project, encoded_dir, tier) of a transcript by where it lies below a root.
+
+    The first folder is the project's directory with slashes written as dashes; deeper files are of subagents.
+    """
+    base = root.rstrip("/")
+    inside = F.split(F.substring(path, len(base) + 2, 100_000), "/")
+    encoded = F.get(inside, F.lit(0))
+    decoded = F.when(encoded.startswith("-"), F.translate(encoded, "-", "/")).otherwise(encoded)
+    if "/uploads/" in base:
+        tier = F.lit("import")
+    elif not base.endswith("/.claude/projects"):
+        tier = F.lit("backup")
+    else:
+        tier = F.when(F.size(inside) > 2, "subagent").otherwise("projects")
+    return F.struct(decoded.alias("project"), encoded.alias("encoded_dir"), tier.alias("tier"))
+
+
+def report(raw: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(path, lines, events, skipped): what became of the lines of each file."""
+    kept = parsed.groupBy("path").agg(F.count(F.lit(1)).alias("events"))
+    by = raw.groupBy("path").agg(F.count(F.lit(1)).alias("lines")).join(kept, "path", "left").withColumn("events", F.coalesce("events", F.lit(0)).cast("long"))
+    return by.withColumn("skipped", F.col("lines") - F.col("events"))
+
+
+def unchanged(files: DataFrame, state: DataFrame) -> DataFrame:
+    """Files (path, length) that were read to their end and have not changed since."""
+    return files.join(state.select("path", F.col("byte_offset").alias("_read")), "path").where(F.col("length") == F.col("_read")).drop("_read")

@@ -1,7 +1,8 @@
-"""A streaming source that follows growing JSONL files, and a stream that ingests them.
+"""A streaming source that follows growing JSONL files.
 
 The offset holds, for each file, how many bytes of whole lines were read; an unfinished last line waits, a
-file that shrank is read from its start again.  Replayed lines are absorbed by uuid in the sink.
+file that shrank is read from its start again.  Replayed lines are absorbed by uuid in the sink
+(weftline.operators.ingest.follow).
 """
 
 from __future__ import annotations
@@ -67,9 +68,10 @@ class TailReader(DataSourceStreamReader):
             with open(partition.path, "rb") as f:
                 f.seek(partition.start)
                 at = partition.start
-                for line in f.read(partition.end - partition.start).splitlines(keepends=True):
+                while at < partition.end:  # line by line, so a long span is never held whole
+                    line = f.readline()
                     if line.strip():
-                        yield partition.path, at, line.decode("utf-8", "replace").strip()
+                        yield partition.path, at, at + len(line), line.decode("utf-8", "replace").strip()
                     at += len(line)
 
 
@@ -79,13 +81,13 @@ class TailSource(DataSource):
         return "jsonl_tail"
 
     def schema(self) -> str:
-        return "path string, line_no long, value string"
+        return "path string, line_no long, end_offset long, value string"
 
     def streamReader(self, schema: StructType) -> TailReader:
         return TailReader(self.options["path"])
 
 
 def follow(spark: SparkSession, root: str):
-    """A streaming frame (path, line_no, value); line_no is the line's byte offset, which grows with the file."""
+    """A streaming frame (path, line_no, end_offset, value); line_no is the line's byte offset, which grows with the file."""
     spark.dataSource.register(TailSource)
     return spark.readStream.format("jsonl_tail").load(root)
