@@ -141,30 +141,41 @@ def runs_of(found: DataFrame, by_words: bool, gram: int, length: int) -> DataFra
     return found.select("doc_id", "text_key", "packed", "places").mapInArrow(rows, RUN_SCHEMA)
 
 
-def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int], object], kind: str) -> DataFrame:
-    """(anchor, content, doc_id, made) for each row (anchor, content, doc_id, text_key, place) of need, joined by document: made is make(text, first window, number of windows)."""
-    wanted = need.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("wanted"))
+def fetched(found: DataFrame, need: DataFrame, make: Callable[[bytes, int, int], object], kind: str, *extra: str) -> DataFrame:
+    """(anchor, content, doc_id, made, extra...) for each row (anchor, content, doc_id, text_key, place, extra...) of need, joined by document: made is make(text, first window, number of windows).
+
+    Rows that are wholly alike are neighbours after the join, and only the first of them is read.
+    """
+    given = ["anchor", "content", "place", *extra]
+    wanted = need.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*given)).alias("wanted"))
     texts = found.select("doc_id", "text_key", "packed")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         field = {"array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[kind]
+        before = None
         for batch in batches:
-            anchors, contents, made = [], [], []
-            sizes = []
-            for packed, want in zip(batch.column(1), batch.column(2), strict=True):
+            columns: list[list] = [[] for _ in given]
+            made, sizes = [], []
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for key, packed, want in zip(keys, batch.column(2), batch.column(3), strict=True):
+                if key == before:
+                    sizes.append(0)
+                    continue
+                before = key
                 raw = unpack.decompress(packed.as_py())
-                anchor, content, place = (want.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                values = [want.values.field(i).to_numpy(zero_copy_only=False) for i in range(len(given))]
+                place = values[2]
                 made += make(raw, place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1))
-                anchors.append(anchor)
-                contents.append(content)
-                sizes.append(len(anchor))
+                for column, part in zip(columns, values, strict=True):
+                    column.append(part)
+                sizes.append(len(place))
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (anchors, contents)]
-            yield pa.RecordBatch.from_arrays([*flat, ids, pa.array(made, field)], names=["anchor", "content", "doc_id", "made"])
+            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in columns]
+            yield pa.RecordBatch.from_arrays([*flat[:2], ids, pa.array(made, field), *flat[3:]], names=["anchor", "content", "doc_id", "made", *extra])
 
-    joined = texts.join(wanted, same_doc(texts, wanted)).select(texts["doc_id"], "packed", "wanted")
-    return joined.mapInArrow(rows, f"anchor long, content long, doc_id long, made {kind}")
+    joined = texts.join(wanted, same_doc(texts, wanted)).select(texts["doc_id"], texts["text_key"], "packed", "wanted")
+    return joined.mapInArrow(rows, ", ".join(["anchor long", "content long", "doc_id long", f"made {kind}", *(f"{x} long" for x in extra)]))
 
 
 def hits_of(runs: DataFrame, verdict: DataFrame, whole: Column) -> DataFrame:

@@ -1,9 +1,9 @@
 """Suffix-array dedup: every byte covered by a 200-byte string that also starts anywhere else goes.
 
 1. Windows of 200 bytes are cut into runs by minimizer (weftline.llm.spans); runs whose minimizer is
-   unique hold no repeated window and are dropped.  Runs of equal content are repeated as a whole.
-2. Runs that are single but share their minimizer with others go to shards by that minimizer, so equal
-   windows meet in one shard.  A shard's texts get a suffix array by prefix doubling that refines only
+   unique hold no repeated window and are dropped.  Runs of equal content are represented by their first and
+   their last copy, so that a hot passage is two rows.
+2. The representatives go to shards by their minimizer, so equal windows meet in one shard.  A shard's texts get a suffix array by prefix doubling that refines only
    the groups that are not yet split (Larsson-Sadakane), to the depth of a window, and Kasai's common
    prefixes tell which neighbours share a whole window.
 3. A minimizer with very many different runs is dealt over several shards.  Each of these gives its
@@ -116,7 +116,9 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
 
 def _shard(window: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["anchor", "content"])
+        # a table's repeated rows bring a copy more than once; two are enough, and one of what is single
+        nth = pdf.groupby(["anchor", "content"], sort=False).cumcount().to_numpy()
+        pdf = pdf[nth < np.minimum(pdf["n"].to_numpy(), 2)]
         raw = pdf["made"].to_list()
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -130,7 +132,11 @@ def _shard(window: int):
         shared[1:] |= full
         shared[:-1] |= full
         offset = order - (stops - sizes)[owner]
-        rows = [(pdf["anchor"].iat[i], pdf["content"].iat[i], at, None, None) for i, at in k.grouped(owner[shared], offset[shared])]
+        windows = sizes - window + 1
+        rows = []
+        for i, at in k.grouped(owner[shared], offset[shared]):
+            whole = len(at) == windows[i]
+            rows.append((pdf["anchor"].iat[i], pdf["content"].iat[i], whole, [] if whole else at, None, None))
         parts = int(pdf["parts"].iat[0])
         if parts > 1:  # the minimizer has further shards: distinct windows as sorted blocks by range
             one = np.flatnonzero(~np.concatenate([[False], full]))  # the first of each distinct window
@@ -145,8 +151,8 @@ def _shard(window: int):
                 a, b = where[j], where[j + 1]
                 if b > a:
                     block = np.rec.fromarrays([digest[a:b], contents[who[a:b]], off[a:b]], names="digest,content,offset")
-                    rows.append((pdf["anchor"].iat[0], None, None, j, block.tobytes()))
-        return pd.DataFrame(rows, columns=["anchor", "content", "at", "range", "block"], dtype=object)
+                    rows.append((pdf["anchor"].iat[0], None, None, None, j, block.tobytes()))
+        return pd.DataFrame(rows, columns=["anchor", "content", "whole", "at", "range", "block"], dtype=object)
 
     return work
 
@@ -176,25 +182,25 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = spans.keyed(docs, id_col, text_col)
     found = spans.candidates(docs, False, gram, window, across=False)
     runs = spans.runs_of(found, False, gram, window)
-    first = F.min(F.struct("doc_id", "text_key", "place")).alias("first")
-    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "content", "n", "first.*"))
-    several = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    need = pieces.join(several.hint("shuffle_hash"), "anchor")
-    parts = F.ceil(F.col("pieces") / F.lit(shard_runs)).cast("long")
-    made = spans.fetched(found, need.select("anchor", "content", "doc_id", "text_key", "place"), _bytes(window), "binary")
+    at = F.struct("doc_id", "text_key", "place")
+    pieces = cut(lambda: runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last")))
+    by = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.max("n").alias("most")).where("pieces > 1 or most > 1")
+    # of equal runs two copies are looked at: rows that are wholly alike are the same place twice
+    copies = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("copy")
+    need = pieces.join(by.hint("shuffle_hash"), "anchor").select("anchor", "content", "n", F.ceil(2 * F.col("pieces") / F.lit(shard_runs)).cast("long").alias("parts"), copies)
+    need = need.select("anchor", "content", "n", "parts", "copy.*")
     shards = max(1, -(-need.count() // shard_runs))
     dealt = (
-        made.drop("doc_id")
-        .join(need.select("anchor", "content", parts.alias("parts")), ["anchor", "content"])
+        spans.fetched(found, need, _bytes(window), "binary", "n", "parts")
+        .drop("doc_id")
         .withColumn("shard", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
         .withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("content"), "parts")).otherwise(F.lit(0).cast("long")))
     )
-    sorted_out = cut(lambda: dealt.groupBy("shard", "part").applyInPandas(_shard(window), "anchor long, content long, at array<long>, range long, block binary"))
-    merged = sorted_out.where("block is not null").groupBy("anchor", "range").applyInPandas(_merge, "anchor long, content long, at array<long>")
-    singles = sorted_out.where("at is not null").select("anchor", "content", "at").unionByName(merged)
-    singles = singles.groupBy("anchor", "content").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-    verdict = pieces.select("anchor", "content", "n").join(singles, ["anchor", "content"], "left").where("n > 1 or at is not null")
-    hits = spans.hits_of(runs, verdict, F.col("n") > 1)
+    sorted_out = cut(lambda: dealt.groupBy("shard", "part").applyInPandas(_shard(window), "anchor long, content long, whole boolean, at array<long>, range long, block binary"))
+    merged = sorted_out.where("block is not null").groupBy("anchor", "range").applyInPandas(_merge, "anchor long, content long, at array<long>").withColumn("whole", F.lit(False))
+    found_at = sorted_out.where("whole is not null").select("anchor", "content", "whole", "at").unionByName(merged)
+    verdict = found_at.groupBy("anchor", "content").agg(F.bool_or("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    hits = spans.hits_of(runs, verdict, F.col("whole"))
     return docs, spans.removed(found, hits, window, False, keep_text).dropDuplicates(["doc_id", "text_key"])
 
 
