@@ -192,9 +192,15 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[at], reach[np.append(at[1:], len(starts)) - 1]
 
 
+def runs_of_equal(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(key, its values) for each run of equal keys."""
+    if not len(keys):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [(int(keys[a]), part) for a, part in zip(new, np.split(values, new[1:]), strict=True)]
+
+
 def grouped(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(key, its values in ascending order) for each distinct key."""
     by = np.lexsort((values, keys))
-    keys, values = keys[by], values[by]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return [(int(keys[a]), part) for a, part in zip(new, np.split(values, new[1:]), strict=True)] if len(keys) else []
+    return runs_of_equal(keys[by], values[by])

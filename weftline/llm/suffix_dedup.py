@@ -48,36 +48,45 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nda
         key = key << k.U64(8) | padded[j : j + n]
     left = ends - np.arange(n)
     active = np.flatnonzero(left >= 8)
-    order = active[np.argsort(key[active], kind="stable")]
+    order = active[np.argsort(key[active])]
     sorted_key = key[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.zeros(n, dtype=np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     h = 8
+    room = left[order]
+    live = order
     while h < depth:
-        step = min(h, depth - h)
-        live = order[left[order] >= h + step]  # still in rank order
+        # a round refines by the ranks one and, where three fit a 64-bit key, two steps ahead
+        near = min(h, depth - h)
+        far = min(h, depth - h - near) if n < 1 << 21 else 0
+        keep = room >= h + near + far  # still in rank order
+        live, room = live[keep], room[keep]
         r = rank[live]
         same = r[1:] == r[:-1]
         tied = np.zeros(len(live), dtype=bool)
         tied[1:] |= same
         tied[:-1] |= same
-        live, r = live[tied], r[tied]
-        h += step
+        live, room, r = live[tied], room[tied], r[tied]
         if not len(live):
             break
-        by = np.argsort(r << 32 | rank[live + step], kind="stable")
-        live, r, second = live[by], r[by], rank[live + step][by]
+        ahead = rank[live + near]
+        if far:
+            ahead = ahead << 21 | rank[live + near + far]
+            by = np.argsort(r << 42 | ahead)
+        else:
+            by = np.argsort(r << 32 | ahead)
+        h += near + far
+        live, room, r, ahead = live[by], room[by], r[by], ahead[by]
         group = np.ones(len(live), dtype=bool)
         group[1:] = r[1:] != r[:-1]
         sub = group.copy()
-        sub[1:] |= second[1:] != second[:-1]
+        sub[1:] |= ahead[1:] != ahead[:-1]
         index = np.arange(len(live))
         group_at = np.maximum.accumulate(np.where(group, index, 0))
         sub_at = np.maximum.accumulate(np.where(sub, index, 0))
         rank[live] = r + sub_at - group_at
-        order = live
     whole = np.flatnonzero(left >= depth)
     return whole[np.argsort(rank[whole], kind="stable")], rank
 
@@ -126,24 +135,25 @@ def _shard(window: int):
         ends = np.repeat(stops, sizes)
         order, _ = suffix_array(data, ends, window)
         prefix = common_prefixes(data, ends, order)
-        owner = np.searchsorted(stops, order, side="right")
-        shared = np.zeros(len(order), dtype=bool)
         full = prefix[1:] >= window
-        shared[1:] |= full
-        shared[:-1] |= full
-        offset = order - (stops - sizes)[owner]
+        shared = np.zeros(len(data), dtype=bool)
+        shared[order[1:][full]] = shared[order[:-1][full]] = True
+        places = np.flatnonzero(shared)  # run by run, in order
+        owner = np.searchsorted(stops, places, side="right")
         windows = sizes - window + 1
         rows = []
-        for i, at in k.grouped(owner[shared], offset[shared]):
+        for i, at in k.runs_of_equal(owner, places - (stops - sizes)[owner]):
             whole = len(at) == windows[i]
             rows.append((pdf["anchor"].iat[i], pdf["content"].iat[i], whole, [] if whole else at, None, None))
         parts = int(pdf["parts"].iat[0])
         if parts > 1:  # the minimizer has further shards: distinct windows as sorted blocks by range
-            one = np.flatnonzero(~np.concatenate([[False], full]))  # the first of each distinct window
+            one = order[~np.concatenate([np.zeros(min(1, len(order)), dtype=bool), full])]  # the first of each distinct window
             rolling = k.byte_rolling(data)
-            digest = rolling.of(order[one], order[one] + window)
+            digest = rolling.of(one, one + window)
             by = np.argsort(digest, kind="stable")
-            digest, who, off = digest[by], owner[one][by], offset[one][by]
+            who = np.searchsorted(stops, one, side="right")
+            off = one - (stops - sizes)[who]
+            digest, who, off = digest[by], who[by], off[by]
             cuts = np.linspace(0, 2.0**64, parts + 1)[1:-1].astype(np.uint64)
             where = np.concatenate([[0], np.searchsorted(digest, cuts), [len(digest)]])
             contents = pdf["content"].to_numpy()
