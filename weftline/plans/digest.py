@@ -116,6 +116,12 @@ def digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(known, "doc_id", "left").select("doc_id", outcome.alias("outcome"))
 
 
+@query("budget_sample")
+def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As budget_sample_sessions, over the table's own columns."""
+    return sampling.within_budget(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "role", "text", budget=400, most=120)
+
+
 @query("live_rows", "SELECT conv_id, turn, role, n > 3 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role <> '' AND text <> '') WHERE i <= 3")
 def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = W.partitionBy("conv_id")
