@@ -14,6 +14,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 0)
 
 
+def token_count(text: Column) -> Column:
+    """size(tokens(text)) in one pass over the text, without an array of words."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len, term, tf): the full-text index, to be written once and read by bm25()."""
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
@@ -22,7 +27,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len) in words."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col))).alias("doc_len"))
+    return docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("doc_len"))
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "overwrite") -> None:
@@ -57,7 +62,7 @@ def _scores(hits: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of the documents with any of the terms, without a written index.
 
-    Texts are split once: rows without any of the terms are counted for the statistics by length alone.
+    Only texts that may hold a term are split; the others are counted for the statistics by length alone.
     """
     low = F.lower(text_col)
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
@@ -66,9 +71,7 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     hits = docs.where(maybe).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
     hits = hits.select("doc_id", F.size("w").alias("doc_len"), F.explode(F.filter("w", lambda x: F.array_contains(wanted, x))).alias("term"))
     hits = hits.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    parts = F.split(F.col(text_col), r"[^\p{L}\p{N}_]+")
-    length = F.size(parts) - F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(text_col).isNotNull(), length)).alias("mean"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(token_count(F.col(text_col))).alias("mean"))
     return _scores(hits, stats)
 
 
