@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from weftline.functions.sandbox import console_limit
 from weftline.functions.text import contains_literal, truncated
 from weftline.functions.times import iso_week, local_day
-from weftline.operators import ingest
+from weftline.operators import ingest, lanes, reduction
 from weftline.plans.console import query, table
+from weftline.sources import transcripts
 
 _START = "2024-01-01 00:00:00"
 
@@ -315,3 +316,50 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ingest_projects", STORE_SQL + "SELECT project, CASE WHEN bool_or(line_no = 1) THEN '/srv/' || project ELSE '/srv/' || project || '/sub' END AS cwd, CASE WHEN bool_or(line_no = 1) THEN project::VARCHAR ELSE 'sub' END AS name FROM ev GROUP BY 1")
 def ingest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, sf_dir)["projects"]
+
+
+@query("submit_batches", """WITH r AS (SELECT user_id::VARCHAR AS path, event_type, row_number() OVER w AS line_no, sum(octet_length(encode(props)) + 1) OVER w AS line_end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT path, line_no, line_end, (row_number() OVER (PARTITION BY path ORDER BY line_no) - 1) // 50 AS batch FROM r WHERE event_type <> 'view'),
+b AS (SELECT path, batch, count(*) AS events, max(line_no) AS l, max(line_end) AS e FROM k GROUP BY 1, 2), w AS (SELECT path, max(line_no) AS l, max(line_end) AS e FROM r GROUP BY 1),
+j AS (SELECT w.path, coalesce(batch, 0) AS batch, coalesce(events, 0) AS events, CASE WHEN lead(batch) OVER p IS NULL THEN w.l ELSE b.l END AS l, CASE WHEN lead(batch) OVER p IS NULL THEN w.e ELSE b.e END AS e FROM w LEFT JOIN b USING (path) WINDOW p AS (PARTITION BY w.path ORDER BY batch))
+SELECT path, batch::BIGINT AS batch, events, (l - coalesce(lag(l) OVER q, 0))::BIGINT AS lines, coalesce(lag(e) OVER q, 0)::BIGINT AS start_offset, e::BIGINT AS next_offset FROM j WINDOW q AS (PARTITION BY path ORDER BY batch)""")
+def submit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events are one file's lines; views stand for lines that are not events."""
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    end = F.sum(F.octet_length("props") + 1).over(by).cast("long")
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.row_number().over(by).cast("long").alias("line_no"), end.alias("end_offset"), "event_type")
+    return transcripts.batches(lines, lines.where("event_type <> 'view'"), 50)
+
+
+@query("lanes_reranked", """WITH RECURSIVE c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, date_trunc('minute', ts) + INTERVAL 1 MINUTE * j AS moment, event_type AS lane, count(*) AS n FROM events, (SELECT unnest(range(1, 11)) AS j) GROUP BY ALL),
+s AS (SELECT day, moment, list({'less': -n, 'lane': lane}) AS seen, row_number() OVER (PARTITION BY day ORDER BY moment) AS i FROM c GROUP BY day, moment),
+f AS (SELECT DISTINCT day, 0::BIGINT AS i, NULL::TIMESTAMP AS moment, []::VARCHAR[] AS lanes, false AS moved FROM s UNION ALL
+SELECT day, i, moment, CASE WHEN len(filled) = len(held) AND list_has_all(held, filled) THEN held ELSE filled END, NOT (len(filled) = len(held) AND list_has_all(held, filled)) FROM (SELECT day, i, moment, held, list_slice(list_concat(want, list_filter(held, lambda x: NOT list_contains(want, x))), 1, 2) AS filled FROM (
+SELECT s.day, s.i, s.moment, lanes AS held, list_transform(list_slice(list_sort(list_transform(seen, lambda x: {'less': x.less, 'fresh': NOT list_contains(lanes, x.lane), 'lane': x.lane})), 1, 2), lambda x: x.lane) AS want FROM f JOIN s ON s.day = f.day AND s.i = f.i + 1)))
+SELECT day, moment, array_to_string(lanes, ',') AS lanes FROM f WHERE moved""")
+def lanes_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named lanes, reranked each minute over ten minutes; each day is a view opened at midnight."""
+    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_type")
+    return lanes.reranked(rows, "day", "ts", "event_type", 2)
+
+
+_BAD = r"[<\r:]|(?i)always|ignore|disregard|end every|from now on|new instruction|you are now"
+_ONE = r"trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_SHOWN = f"chr(10) || '{{0}}:' || chr(10) || array_to_string(list_transform(list_slice({{1}}, 1, 3), lambda t: '- ' || CASE WHEN length({_ONE.format('t')}) <= 160 THEN {_ONE.format('t')} ELSE rtrim(substr({_ONE.format('t')}, 1, 158)) || ' …' END), chr(10))"
+
+
+@query("reduce_budget", STORE_SQL + f""", d AS (SELECT session, min(iso_week) AS iso_week, coalesce(arg_min(text, line_no) FILTER (role = 'assistant'), '') AS summary, coalesce(list(text ORDER BY line_no) FILTER (role = 'user' AND text <> ''), []) AS asked, coalesce(list(text ORDER BY line_no) FILTER (role = 'assistant' AND text <> ''), []) AS told
+FROM ew WHERE NOT regexp_matches(text, '{_BAD}') GROUP BY 1),
+b AS (SELECT session, iso_week, row_number() OVER (PARTITION BY iso_week ORDER BY session) AS n, trim('summary: ' || {_ONE.format("summary")} || CASE WHEN len(asked) > 0 THEN {_SHOWN.format("decisions", "asked")} ELSE '' END || CASE WHEN len(told) > 0 THEN {_SHOWN.format("open", "told")} ELSE '' END) AS body FROM d),
+p AS (SELECT session, iso_week, n, '<digest n=' || n || ' s' || session || '>' || chr(10) || CASE WHEN length(body) > 2400 THEN substr(body, 1, 2400) || ' …' ELSE body END || chr(10) || '</digest>' || chr(10) AS piece FROM b),
+z AS (SELECT *, sum(length(piece)) OVER (PARTITION BY iso_week ORDER BY n) AS spent FROM p)
+SELECT iso_week, n, session, piece FROM z WHERE spent <= 24000 OR n = 1""")
+def reduce_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of sessions: the first answer is a digest's summary, questions and answers its sections."""
+    said = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & (F.col("text") != ""), F.struct("line_no", "text")))), lambda x: x["text"])
+    rows = events(spark, sf_dir).where(~F.col("text").rlike(_BAD))
+    answer = F.when(F.col("role") == "assistant", F.col("line_no"))
+    by = rows.withColumn("answer", answer).groupBy("session").agg(F.min("iso_week").alias("iso_week"), F.min_by("text", "answer").alias("summary"), said("user").alias("asked"), said("assistant").alias("told"))
+    sections = F.array(F.struct(F.lit("decisions").alias("name"), F.col("asked").alias("bullets")), F.struct(F.lit("open").alias("name"), F.col("told").alias("bullets")))
+    digests = by.select("session", "iso_week", F.array(F.concat(F.lit("s"), "session")).alias("meta"), "summary", sections.alias("sections"))
+    return reduction.within_budget(digests, "iso_week", "session", [F.col("session")])

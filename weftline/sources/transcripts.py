@@ -107,3 +107,23 @@ def report(raw: DataFrame, parsed: DataFrame) -> DataFrame:
 def unchanged(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files (path, length) that were read to their end and have not changed since."""
     return files.join(state.select("path", F.col("byte_offset").alias("_read")), "path").where(F.col("length") == F.col("_read")).drop("_read")
+
+
+def batches(raw: DataFrame, parsed: DataFrame, most: int = 500) -> DataFrame:
+    """(path, batch, events, lines, start_offset, next_offset): the steps in which a file's new events are handed over.
+
+    raw: (path, line_no, end_offset) of all lines; parsed: those of lines that are events.  A batch holds up to `most`
+    events and ends with the line of its last one, the last batch with the file's last line, so what was taken stays
+    taken if a later batch fails.  A file without events is one empty batch that moves its offset on.
+    """
+    at = F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1
+    filled = parsed.select("path", "line_no", "end_offset", F.floor(at / most).alias("batch"))
+    filled = filled.groupBy("path", "batch").agg(F.count(F.lit(1)).alias("events"), F.max("line_no").alias("line"), F.max("end_offset").alias("end"))
+    whole = raw.groupBy("path").agg(F.max("line_no").alias("_line"), F.max("end_offset").alias("_end"))
+    steps = whole.join(filled, "path", "left").withColumn("batch", F.coalesce("batch", F.lit(0)).cast("long"))
+    by = W.partitionBy("path").orderBy("batch")
+    last = F.lead("batch").over(by).isNull()
+    steps = steps.withColumn("line", F.when(last, F.col("_line")).otherwise(F.col("line"))).withColumn("next_offset", F.when(last, F.col("_end")).otherwise(F.col("end")))
+    lines = F.col("line") - F.coalesce(F.lag("line").over(by), F.lit(0))
+    start = F.coalesce(F.lag("next_offset").over(by), F.lit(0))
+    return steps.select("path", "batch", F.coalesce("events", F.lit(0)).cast("long").alias("events"), lines.cast("long").alias("lines"), start.cast("long").alias("start_offset"), F.col("next_offset").cast("long").alias("next_offset"))
