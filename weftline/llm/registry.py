@@ -10,6 +10,7 @@ from weftline.llm.fm_quality import op9_factorisation_machine
 from weftline.llm.jaccard_join import op4_ngram_jaccard_join
 from weftline.llm.llr_quality import op2_llr_quality, quality_base_columns
 from weftline.llm.packing import op6_hierarchical_packing
+from weftline.llm.periodic_runs import op13_periodic_runs
 from weftline.llm.substring_dedup import op3_substring_dedup
 from weftline.llm.suffix_dedup import op10_suffix_array_dedup
 from weftline.llm.toxicity import op1_toxicity_ordinal
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable] = {
     "op8_warc_salvage": op8_warc_salvage,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
     "quality_base_columns": quality_base_columns,
     "url_fixed_rules": url_fixed_rules,
 }
