@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import kernels as k
+from weftline.llm.runtime import few_of
 
 FIT_ROWS = 6_000
 BUCKETS = 1 << 15
@@ -143,8 +144,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model | None:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("long").alias("label"))
-    share = min(1.0, rows / max(1, known.count()))
-    few = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    few = known.where(few_of(F.col("_id"), rows, known.count()))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(few), "_id").select("label", "text")
 

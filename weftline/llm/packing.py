@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -51,6 +52,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PROBE = "A probe: it's 12,345 tokens -- naïve café,\n\n\tЖук  日本語 🙂 don't!!! x = y|z;  end \r\n"
 
 
+#: Characters of a run of blanks that the pattern above is spared.
+LONG_BLANKS = 10_000
+_BLANKS = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+
 def _byte_names() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,7 +69,8 @@ class Encoder:
 
     For plain byte-level BPE files whose ids follow their merges, tiktoken applies the same vocabulary several
     times faster; it is used if the file's settings are just these and it agrees on a probe, and never for
-    texts that hold a special token.
+    texts that hold a special token.  Its pattern backtracks over runs of blanks, and gives up on very long ones: such
+    texts go to `tokenizers` too.
     """
 
     def __init__(self, path: str):
@@ -98,8 +105,14 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        slow = self.fast is None or any(x in text for x in self.special)
-        ids = array("I", (self._slow if slow else self.fast)(text))
+        slow = self.fast is None or any(x in text for x in self.special) or len(text) > LONG_BLANKS and _BLANKS.search(text)
+        try:
+            found = (self._slow if slow else self.fast)(text)
+        except BaseException as e:  # a panic of its library is no Exception
+            if slow or type(e).__name__ != "PanicException":
+                raise
+            found = self._slow(text)
+        ids = array("I", found)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()

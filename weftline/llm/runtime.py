@@ -7,7 +7,8 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def few_of(key: Column, rows: int, total: int) -> Column:
+    """Whether a row is among about `rows` of `total`, by a hash of its key; as fine as 63 bits, so it holds for any total."""
+    least = min((rows << 63) // max(1, total), (1 << 63) - 1)
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(least)
+
+
 def cut(make: Callable[[], DataFrame]) -> DataFrame:
     """Cut the lineage of make() by a checkpoint in the shared folder.
 

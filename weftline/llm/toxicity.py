@@ -8,11 +8,14 @@ texts ties to grades above 0; their value is log(1 + count) in the whole text.
 labelled rows, chosen by a hash of their id; every document is scored.
 
 Where labels are only 0/1, graded() spreads 1 over severity grades: a toxic text is of grade 1, 2 or 3 as it
-has up to one, two to three, or more of the tied words.
+has up to one, two to three, or more words of a list.  That list is made of the words tied to the labels of one third
+of the sample; features and weights are learnt from the other two thirds, so no text's grade comes from words that
+its own label has chosen.
 
 Defined results: null and empty texts score what a text without features scores; labels that are null, and
-labels without a document, are not used; ids with several labels take the largest; without any toxic label
-or feature all scores are 0; repeated rows score alike; an empty table gives an empty result; the scoring
+labels without a document, are not used; ids with several labels take the largest; the sample is of about FIT_ROWS
+rows however many labels there are; without any toxic label or feature all scores are 0; without grade words (few
+toxic labels) every toxic text is of grade 1; repeated rows score alike; an empty table gives an empty result; the scoring
 keeps all rows, and in reject() all columns, whatever their names.
 """
 
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.runtime import cut, few_of
+
 FIT_ROWS = 20_000
 FEATURES = 512
 GRADES = 3
@@ -86,8 +91,7 @@ class Model:
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
-    share = min(1.0, rows / max(1, known.count()))
-    few = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    few = known.where(few_of(F.col("_id"), rows, known.count()))
     # at most about FIT_ROWS pairs of integers
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(few), "_id").groupBy("text").agg(F.round(F.avg("label")).cast("long").alias("label"))
@@ -144,23 +148,27 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int =
 
 
 def graded(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Severity grades 0 to 3 from binary labels and the number of tied words."""
+    """Severity grades 0 to 3 from binary labels and the number of grade words."""
     return np.where(toxic > 0, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, binary: bool = True) -> Model:
     """binary: the label is 0/1; else it is the grade, 0 to GRADES."""
-    sample = _sample(docs, labels, rows, id_col, text_col, label_col)
+    sample = cut(lambda: _sample(docs, labels, rows, id_col, text_col, label_col))
+    apart = F.pmod(F.xxhash64("text"), F.lit(3)) == 0
+    grade_words = features(sample.where(apart)) if binary else []
+    sample = sample.where(~apart) if binary else sample
     words = features(sample)
     index = {w: i for i, w in enumerate(words)}
     if not words:
         return Model({}, np.zeros(0), np.full(GRADES, 50.0))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(index)
+        lookup, grading = Lookup(index), Lookup({w: i for i, w in enumerate(grade_words)})
         for batch in batches:
-            found = [lookup.counts(x) for x in batch.column(1).to_pylist()]
-            columns = [pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64())]
+            texts = batch.column(1).to_pylist()
+            found = [lookup.counts(x)[0] for x in texts]
+            columns = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([grading.counts(x)[1] for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "at", "n", "hits"])
 
     # bounded: FIT_ROWS rows of at most FEATURES pairs; order matters to no result
