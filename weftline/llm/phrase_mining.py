@@ -3,8 +3,9 @@
 Documents are dealt into SHARDS shares by a hash of their id.  A phrase with `least` occurrences has ceil(least / SHARDS)
 or more in one of them at least, so each share is mined completely at that local support, level by level: words
 and pairs first, then phrases of three and four words all of whose pairs are frequent in a shard.  A share is not a
-task: its occurrences are counted by a shuffled aggregate whose keys are 64-bit hashes that name phrase, language
-and share, so a share may be of any size.
+task: its occurrences are counted over a shuffle whose keys are 64-bit hashes that name phrase, language and share, so
+a share may be of any size.  Keys travel as sorted blocks with their counts, dealt by ranges of the hash; the number of
+ranges follows the size of the texts.
 
 The union of what is locally frequent is kept as a bitmap of 2 ** BITS bits, of the same size whatever the input: a bit
 may be set by another phrase too, which only lets a phrase be counted that need not be, and none is ever missed.
@@ -22,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -40,6 +42,10 @@ SHARDS = 8
 BITS = 26
 #: Bytes of text that are mined at a time in a task.
 SLICE = 4_000_000
+#: Bytes of text whose keys are merged together.
+PART = 16_000_000
+#: Candidates that a task adds up before it hands them on.
+NAMED = 200_000
 #: Shares of a language's ranking before its last one.
 RANKERS = 64
 
@@ -80,9 +86,14 @@ class Phrases:
         return (hashes & ~k.U64(SHARDS - 1)) | self.shard[:m], self.piece[n - 1 :][:m] == self.piece[:m]
 
 
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each key, the same for all shares of a phrase."""
+    return keys >> k.U64(64 - bits)
+
+
 def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the bits of keys are set; the same bits as in _bitmap()."""
-    bits = keys >> k.U64(3) & k.U64(64 * len(table) - 1)
+    """Whether the bits of keys are set in a table of 64-bit words."""
+    bits = _bits(keys, 5 + len(table).bit_length())
     return (table[bits >> k.U64(6)] >> (bits & k.U64(63)) & k.U64(1)).astype(bool)
 
 
@@ -112,68 +123,115 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Phrases]]:
         yield first, n, Phrases(data, offsets, salt[first : first + n], shard[first : first + n])
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, phrases in _slices(batch):
-            pairs, stays = phrases.of(2)
-            yield _counted([phrases.of(1)[0], pairs[stays]])
+def _short(phrases: Phrases) -> list[np.ndarray]:
+    """The keys of words and pairs."""
+    pairs, stays = phrases.of(2)
+    return [phrases.of(1)[0], pairs[stays]]
 
 
 def _long(pairs: Broadcast, longest: int):
+    return lambda phrases: [keys[held] for keys, held in _frequent(phrases, pairs.value, longest)[1:]]
+
+
+def _blocks(keys_of, parts: int, bits: int):
+    """(part, keys, n) of each slice: sorted distinct keys with their counts as blocks, a part being a range of bits."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, phrases in _slices(batch):
-                yield _counted([keys[held] for keys, held in _frequent(phrases, pairs.value, longest)[1:]])
+                key, n = np.unique(np.concatenate(keys_of(phrases)), return_counts=True)
+                part = _bits(key, bits) * k.U64(parts) >> k.U64(bits)
+                where = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                full = np.flatnonzero(where[1:] > where[:-1])
+                cuts = [(where[i], where[i + 1]) for i in full]
+                columns = [pa.array(full, pa.int64()), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "n"])
 
     return rows
 
 
-def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+def _frequent_bits(support: int, bits: int):
+    """The words of the bitmap, as blocks, that the frequent keys of a part set."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint64)
+        n = np.frombuffer(b"".join(pdf["n"]), dtype=np.uint32)
+        by = np.argsort(keys)
+        keys = keys[by]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(n[by].astype(np.int64), first)
+        bit = np.unique(_bits(keys[first][total >= support], bits))
+        if not len(bit):
+            return pd.DataFrame({"at": [], "mask": []})
+        words = bit >> k.U64(6)
+        new = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        mask = np.bitwise_or.reduceat(k.U64(1) << (bit & k.U64(63)), new)
+        return pd.DataFrame({"at": [words[new].astype(np.uint32).tobytes()], "mask": [mask.tobytes()]})
+
+    return work
+
+
+class _Named:
+    """(lang, words, phrase, n) of candidates, added up over the slices of a task."""
+
+    def __init__(self):
+        self.at: dict[int, int] = {}
+        self.columns: tuple[list, ...] = ([], [], [], [])
+
+    def add(self, key: int, n: int, row) -> None:
+        at = self.at.get(key)
+        if at is None:
+            self.at[key] = len(self.at)
+            for column, value in zip(self.columns, (*row(), n), strict=True):
+                column.append(value)
+        else:
+            self.columns[3][at] += n
+
+    def taken(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, kinds, strict=True)], names=["lang", "words", "phrase", "n"])
+        self.__init__()
+        return out
 
 
 def _named(short: Broadcast, long: Broadcast, longest: int):
-    """(lang, words, phrase, n) of each candidate in a slice; words 0: how many words the texts have."""
+    """(lang, words, phrase, n) of each candidate; words 0: how many words the texts have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = _Named()
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for first, texts, phrases in _slices(batch):
-                lang, words, phrase, count = [], [], [], []
-                for i, n in enumerate(np.bincount(phrases.text, minlength=texts).tolist()):
-                    if n:
-                        lang.append(langs[first + i])
-                        words.append(0)
-                        phrase.append(b"")
-                        count.append(n)
+                raw, text = phrases.data.tobytes(), phrases.text
+                for i, n in enumerate(np.bincount(text, minlength=texts).tolist()):
+                    lang = langs[first + i]
+                    named.add(lang, n, lambda: (lang, 0, b""))  # noqa: B023  called at once
                 single = phrases.of(1)[0]
                 found = [(single, _held(short.value, single)), *_frequent(phrases, short.value, longest)]
-                raw = phrases.data.tobytes()
                 for n, (keys, held) in enumerate(found, 1):
                     at = np.flatnonzero(held)
                     if n > 2:
                         at = at[_held(long.value, keys[at])]
-                    _, once, times = np.unique(keys[at], return_index=True, return_counts=True)
-                    at = at[once]
-                    lang += [langs[first + i] for i in phrases.text[at].tolist()]
-                    words += [n] * len(at)
-                    phrase += [b" ".join(raw[s:e].split()) for s, e in zip(phrases.start[at].tolist(), phrases.end[at + n - 1].tolist(), strict=True)]
-                    count += times.tolist()
-                columns = [pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.binary()), pa.array(count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
+                    # one share or another: a phrase is one row
+                    key, once, times = np.unique(keys[at] | k.U64(SHARDS - 1), return_index=True, return_counts=True)
+                    for key, i, count in zip(key.tolist(), at[once].tolist(), times.tolist(), strict=True):
+                        named.add(key, count, lambda: (langs[first + text[i]], n, b" ".join(raw[phrases.start[i] : phrases.end[i + n - 1]].split())))  # noqa: B023
+                if len(named.at) >= NAMED:
+                    yield named.taken()
+        yield named.taken()
 
     return rows
 
 
-def _bitmap(counts: DataFrame, support: int) -> Broadcast:
-    """The bits of keys that are frequent in a share; at most 2 ** (BITS - 6) numbers come to the driver."""
-    bit = F.shiftrightunsigned("key", 3).bitwiseAND(F.lit((1 << BITS) - 1))
-    local = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select(bit.alias("bit"))
-    words = local.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+def _bitmap(texts: DataFrame, keys_of, support: int, parts: int) -> Broadcast:
+    """The bits of keys that are frequent in a share; at most 2 ** (BITS - 6) words of it come to the driver, in blocks."""
+    blocks = texts.mapInArrow(_blocks(keys_of, parts, BITS), "part long, keys binary, n binary")
+    words = blocks.groupBy("part").applyInPandas(_frequent_bits(support, BITS), "at binary, mask binary").toArrow()
     table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    table[words["at"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return counts.sparkSession.sparkContext.broadcast(table)
+    # two parts may meet in one word
+    for at, mask in zip(words["at"].to_pylist(), words["mask"].to_pylist(), strict=True):
+        table[np.frombuffer(at, dtype=np.uint32)] |= np.frombuffer(mask, dtype=np.uint64)
+    return texts.sparkSession.sparkContext.broadcast(table)
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -184,8 +242,10 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARDS)).alias("shard"),
     )
     support = -(-least // SHARDS)
-    short = _bitmap(texts.mapInArrow(_short, "key long, n long"), support)
-    long = _bitmap(texts.mapInArrow(_long(short, longest), "key long, n long"), support)
+    # a part's keys are merged at once: their number is bounded by the text that they come from
+    parts = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    short = _bitmap(texts, _short, support, parts)
+    long = _bitmap(texts, _long(short, longest), support, parts)
     named = texts.mapInArrow(_named(short, long, longest), "lang string, words int, phrase binary, n long")
     counts = named.groupBy("lang", "words", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= least) | (F.col("words") == 0))
