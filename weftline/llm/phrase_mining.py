@@ -41,11 +41,13 @@ HIDDEN = 80
 SHARDS = 8
 BITS = 26
 #: Bytes of text that are mined at a time in a task.
-SLICE = 4_000_000
+SLICE = 1_000_000
+#: Keys that a task merges before it hands them on.
+KEYS = 2_000_000
 #: Bytes of text whose keys are merged together.
-PART = 16_000_000
+PART = 8_000_000
 #: Candidates that a task adds up before it hands them on.
-NAMED = 200_000
+NAMED = 100_000
 #: Shares of a language's ranking before its last one.
 RANKERS = 64
 
@@ -133,19 +135,38 @@ def _long(pairs: Broadcast, longest: int):
     return lambda phrases: [keys[held] for keys, held in _frequent(phrases, pairs.value, longest)[1:]]
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[first], np.add.reduceat(np.concatenate(counts)[by], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _blocks(keys_of, parts: int, bits: int):
-    """(part, keys, n) of each slice: sorted distinct keys with their counts as blocks, a part being a range of bits."""
+    """(part, keys, n): sorted distinct keys with their counts as blocks, a part being a range of bits."""
+
+    def block(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        part = _bits(key, bits) * k.U64(parts) >> k.U64(bits)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)) if len(first) else []
+        columns = [pa.array(part[first].astype(np.int64)), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
             for _, _, phrases in _slices(batch):
                 key, n = np.unique(np.concatenate(keys_of(phrases)), return_counts=True)
-                part = _bits(key, bits) * k.U64(parts) >> k.U64(bits)
-                where = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                full = np.flatnonzero(where[1:] > where[:-1])
-                cuts = [(where[i], where[i + 1]) for i in full]
-                columns = [pa.array(full, pa.int64()), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "n"])
+                keys.append(key)
+                counts.append(n)
+                if sum(map(len, keys)) >= KEYS:
+                    yield block(*_merged(keys, counts))
+                    keys, counts = [], []
+        if keys:
+            yield block(*_merged(keys, counts))
 
     return rows
 
@@ -154,13 +175,9 @@ def _frequent_bits(support: int, bits: int):
     """The words of the bitmap, as blocks, that the frequent keys of a part set."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint64)
-        n = np.frombuffer(b"".join(pdf["n"]), dtype=np.uint32)
-        by = np.argsort(keys)
-        keys = keys[by]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.add.reduceat(n[by].astype(np.int64), first)
-        bit = np.unique(_bits(keys[first][total >= support], bits))
+        blocks = lambda column, kind: [np.frombuffer(x, dtype=kind) for x in pdf[column]]
+        keys, total = _merged(blocks("keys", np.uint64), [x.astype(np.int64) for x in blocks("n", np.uint32)])
+        bit = np.unique(_bits(keys[total >= support], bits))
         if not len(bit):
             return pd.DataFrame({"at": [], "mask": []})
         words = bit >> k.U64(6)
