@@ -2,14 +2,14 @@
 
 Documents are dealt into SHARDS shares by a hash of their id.  A phrase with `least` occurrences has ceil(least / SHARDS)
 or more in one of them at least, so each share is mined completely at that local support, level by level: words
-and pairs first, then phrases of three and four words all of whose pairs are frequent in a shard.  A share is not a
+and pairs first, then phrases of three and four words all of whose pairs are frequent.  A share is not a
 task: its occurrences are counted over a shuffle whose keys are 64-bit hashes that name phrase, language and share, so
 a share may be of any size.  Keys travel as sorted blocks with their counts, dealt by ranges of the hash; the number of
 ranges follows the size of the texts.
 
-The union of what is locally frequent is kept as a bitmap of 2 ** BITS bits, of the same size whatever the input: a bit
-may be set by another phrase too, which only lets a phrase be counted that need not be, and none is ever missed.
-The last pass counts every occurrence of the candidates by their words themselves, not by hashes, in one aggregate, so the
+The shares' counts of a phrase lie side by side, so the union of what is locally frequent is counted over all shares
+there, by hash.  What is left is kept as a bitmap of 2 ** BITS bits, of the same size whatever the input: a bit may be set
+by another phrase too, which only lets a phrase be counted that need not be, and none is ever missed.  The last pass counts every occurrence of the candidates by their words themselves, not by hashes, in one aggregate, so the
 counts are exact.  Scores, the test against longer phrases and ranks come from these counts in SQL functions.
 
 Defined results: a null text has no words; a null language is `und`; languages without a candidate give no rows;
@@ -171,13 +171,18 @@ def _blocks(keys_of, parts: int, bits: int):
     return rows
 
 
-def _frequent_bits(support: int, bits: int):
-    """The words of the bitmap, as blocks, that the frequent keys of a part set."""
+def _frequent_bits(support: int, least: int, bits: int):
+    """The words of the bitmap, as blocks, that the phrases of a part set: frequent in a share, and in all shares together."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = lambda column, kind: [np.frombuffer(x, dtype=kind) for x in pdf[column]]
         keys, total = _merged(blocks("keys", np.uint64), [x.astype(np.int64) for x in blocks("n", np.uint32)])
-        bit = np.unique(_bits(keys[total >= support], bits))
+        # the shares of a phrase are neighbours: its candidates are counted over all of them
+        phrase = keys >> k.U64(3)
+        first = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]])[: len(phrase)])
+        candidate = np.maximum.reduceat(total, first) >= support
+        keys = keys[first][candidate & (np.add.reduceat(total, first) >= least)]
+        bit = np.unique(_bits(keys, bits))
         if not len(bit):
             return pd.DataFrame({"at": [], "mask": []})
         words = bit >> k.U64(6)
@@ -240,10 +245,10 @@ def _named(short: Broadcast, long: Broadcast, longest: int):
     return rows
 
 
-def _bitmap(texts: DataFrame, keys_of, support: int, parts: int) -> Broadcast:
-    """The bits of keys that are frequent in a share; at most 2 ** (BITS - 6) words of it come to the driver, in blocks."""
+def _bitmap(texts: DataFrame, keys_of, least: int, parts: int) -> Broadcast:
+    """The bits of phrases that may have `least` occurrences; at most 2 ** (BITS - 6) words of it come to the driver, in blocks."""
     blocks = texts.mapInArrow(_blocks(keys_of, parts, BITS), "part long, keys binary, n binary")
-    words = blocks.groupBy("part").applyInPandas(_frequent_bits(support, BITS), "at binary, mask binary").toArrow()
+    words = blocks.groupBy("part").applyInPandas(_frequent_bits(-(-least // SHARDS), least, BITS), "at binary, mask binary").toArrow()
     table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     # two parts may meet in one word
     for at, mask in zip(words["at"].to_pylist(), words["mask"].to_pylist(), strict=True):
@@ -258,11 +263,10 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARDS)).alias("shard"),
     )
-    support = -(-least // SHARDS)
     # a part's keys are merged at once: their number is bounded by the text that they come from
     parts = max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
-    short = _bitmap(texts, _short, support, parts)
-    long = _bitmap(texts, _long(short, longest), support, parts)
+    short = _bitmap(texts, _short, least, parts)
+    long = _bitmap(texts, _long(short, longest), least, parts)
     named = texts.mapInArrow(_named(short, long, longest), "lang string, words int, phrase binary, n long")
     counts = named.groupBy("lang", "words", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= least) | (F.col("words") == 0))
