@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -54,15 +55,23 @@ def test_one_word_many_times_and_listing_in_parts(monkeypatch):
     assert p.runs_of(texts) == [[(0, 3000, 1)], [], [(0, 1401, 2), (1401, 24, 1)], []]
 
 
-def test_best_run_and_what_is_kept():
-    words = b"a b a b a b a b a b a b a b a b a b a b a b a b z z z z z z z z z z z z z z z z z z z z z z z z end".split()
+def test_best_run_and_what_is_kept(spark):
+    text = "a b a b a b a b a b a b a b a b a b a b a b a b z z z z z z z z z z z z z z z z z z z z z z z z end"
+    words = text.encode().split()
     runs = p.runs_of([words])[0]
-    assert runs == [(0, 24, 2), (24, 24, 1)]
-    n, start, length, period, milli, listed, kept, n_words, dropped = p.summary(words, runs)
-    assert (n, start, length, period, milli, n_words, dropped) == (2, 24, 24, 1, 24000, 49, 45)
-    assert listed == hashlib.sha256(b"0,24,2\n24,24,1\n").hexdigest()
-    assert kept == hashlib.sha256(b"a b z end").hexdigest()
-    assert p.summary([], [])[1:5] == (None,) * 4
+    assert runs == [(0, 24, 2), (24, 24, 1)] and p.collapsed(words, runs) == b"a b z end" and p.collapsed([], []) == b""
+    row = p.digested(p.periodic_runs(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (row.n_runs, row.start, row.length, row.period, row.exponent_milli, row.n_words) == (2, 24, 24, 1, 24000, 49)
+    assert row.runs_sha256 == hashlib.sha256(b"0,24,2\n24,24,1\n").hexdigest() and row.collapsed_sha256 == hashlib.sha256(b"a b z end").hexdigest()
+
+
+def summary(words, runs):
+    top = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    dropped = {i for at, length, q in runs for i in range(at + q, at + length)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in dropped)
+    listed = "".join(f"{a},{n},{q}\n" for a, n, q in runs)
+    return len(runs), *best, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept).hexdigest(), len(words)
 
 
 def test_stretched_words():
@@ -81,13 +90,13 @@ def test_frames_with_nulls_ties_long_texts_and_other_columns(spark):
     rows = [(i, " ".join(rng.choice(["a", "b", "é"]) for _ in range(rng.randrange(80))), "x") for i in range(60)]
     rows += [(None, "w\t" * 40, None), (7, None, None), (8, "", "y"), (9, " \n ", "y"), (3, rows[3][1], "x"), (-5, "u v w " * 30000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_runs string")
-    got = p.periodic_runs(docs, stretch=True).collect()
+    got = p.digested(p.periodic_runs(docs, stretch=True)).collect()
     want = []
     for i, text, _ in rows:
         words = p.stretched((text or "").encode().split(), i)
         runs = [(0, 90000, 3)] if i == -5 else plain(words, 24, 3)
-        want.append((i, *p.summary(words, runs)))
+        want.append((i, *summary(words, runs)))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    empty = p.periodic_runs(docs.where(F.lit(False)))
+    empty = p.digested(p.periodic_runs(docs.where(F.lit(False))))
     assert empty.count() == 0 and empty.columns[:2] == ["doc_id", "n_runs"]
 

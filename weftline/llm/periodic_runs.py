@@ -17,7 +17,6 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -186,34 +185,25 @@ def runs_of(texts: list[list[bytes]], least: int = LEAST_WORDS, times: int = LEA
     return [sorted(x, key=lambda r: (r[0], r[2])) for x in found]
 
 
-def summary(words: list[bytes], runs: list[tuple[int, int, int]]) -> tuple:
-    """What is returned for a text of these words and runs, from n_runs to collapsed_sha256."""
-    best = (None,) * 4
-    kept = words
-    if runs:
-        top = runs[0]
-        for run in runs[1:]:  # by start, then period: only a greater exponent takes over
-            if run[1] * top[2] > top[1] * run[2]:
-                top = run
-        best = (*top, 1000 * top[1] // top[2])
-        keep = np.ones(len(words), dtype=bool)
-        for at, length, period in runs:
-            keep[at + period : at + length] = False
-        kept = [words[i] for i in np.flatnonzero(keep)]
-    listed = "".join(f"{at},{length},{period}\n" for at, length, period in runs)
-    return len(runs), *best, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b" ".join(kept)).hexdigest(), len(words), len(words) - len(kept)
+def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
+    """The text without what runs repeat: of each run its first period stays."""
+    keep = np.ones(len(words), dtype=bool)
+    for at, length, period in runs:
+        keep[at + period : at + length] = False
+    return b" ".join([words[i] for i in np.flatnonzero(keep)] if runs else words)
 
 
-SCHEMA = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string, n_words long, n_dropped long"
+_RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
+SCHEMA = "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed binary"
 
 
 def _finder(least: int, times: int, stretch: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in SCHEMA.split(", ")])
-
         def done(ids: list, texts: list) -> pa.RecordBatch:
-            out = [(i, *summary(words, runs)) for i, words, runs in zip(ids, texts, runs_of(texts, least, times), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            found = runs_of(texts, least, times)
+            runs = [[dict(zip(("start", "length", "period"), x, strict=True)) for x in of_text] for of_text in found]
+            kept = pa.array(map(collapsed, texts, found), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(runs, pa.list_(_RUN)), kept], names=["doc_id", "n_words", "runs", "collapsed"])
 
         ids, texts, n = [], [], 0
         for batch in batches:
@@ -232,12 +222,32 @@ def _finder(least: int, times: int, stretch: bool):
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, times: int = LEAST_TIMES, stretch: bool = False) -> DataFrame:
-    """One row for each document: its runs counted and digested, the one of the greatest exponent, what is left of the text.
+    """(doc_id, n_words, runs, collapsed) of each document: every run by start, then period, and the text without what runs repeat.
 
     stretch: judge the words of stretched() in place of the text's own.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(_finder(least, times, stretch), SCHEMA)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return narrow.mapInArrow(_finder(least, times, stretch), SCHEMA).withColumn("collapsed", F.col("collapsed").cast("string"))
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """The runs of each document counted and digested, with the one of the greatest exponent (ties: the first, then the shorter period)."""
+    more = lambda x, best: x["length"] * best["period"] > best["length"] * x["period"]  # noqa: E731  exact fractions
+    top = F.aggregate(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)), lambda best, x: F.when(more(x, best), x).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    df = found.withColumn("top", top)
+    return df.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
 
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
-    return periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), stretch=True)
+    return digested(periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), stretch=True))
