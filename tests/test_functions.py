@@ -38,6 +38,13 @@ def test_sandbox_refuses(bad):
         sandbox.predicate(bad)
 
 
+@pytest.mark.parametrize("bad", ["exists (table secrets)", "id in (table secrets)", "id in (from secrets)", "id in (values 3, 4)", "id in ((table secrets))", "id = any(with x as (values 1) table x)", "( from secrets )", "exists(map x)", "id in (\nselect 1)", "coalesce((table secrets), 1) = 1"])
+def test_sandbox_refuses_queries(spark, bad):
+    spark.createDataFrame([(3,)], "id int").createOrReplaceTempView("secrets")
+    with pytest.raises(ValueError):
+        sandbox.predicate(bad)
+
+
 def test_sandbox_allows_literals(spark):
     df = spark.createDataFrame([("repeat(;--",), ("b",)], "a string")
     assert df.where(sandbox.predicate("starts_with(a, 'repeat(;--')")).count() == 1
@@ -48,18 +55,29 @@ def test_sandbox_allows_literals(spark):
     assert sandbox.console_limit(1000, 30, 200) == 30
 
 
-def test_markdown_sections():
-    text = "---\ntitle: 'T'\ntags: [a, b]\ndescription: what\nlist:\n- x\n---\nintro\n# Head\n## One\n````\n## not\n```\n````\nx\n```a`b\n## One\ny\n## one!\nz"
-    fields, body = markdown.header(text)
-    assert fields == {"title": "T", "tags": ["a", "b"], "description": "what", "list": ["x"]}
-    assert markdown.split_sections(body) == ("Head", [("", "intro\n# Head"), ("One", "## One\n````\n## not\n```\n````\nx\n```a`b"), ("One", "## One\ny"), ("one!", "## one!\nz")])
-    rows = list(markdown.page("notes/n.md", text))
-    assert [r[3] for r in rows] == ["", "one", "one~dup2", "one~dup3"] and rows[0][6] == "what\n\nintro\n# Head" and {r[1] for r in rows} == {"T"} and {r[4] for r in rows} == {"a,b"}
+def column(spark, make, *values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(make(F.col("t"))).collect()]
+
+
+def test_markdown_sections(spark):
+    front = "title: 'T'\ntags: [a, b]\ndescription: what\nlist:\n- x\n# no\n\n- 'y'\nother: z\n- no\ntags: c | d"
+    got = column(spark, lambda t: F.array(*[markdown.field(t, n) for n in ("title", "tags", "description", "list", "other", "none")]), front)[0]
+    assert got == [["T"], ["c | d"], ["what"], ["x", "y"], ["z"], []]
+    text = "---\ntitle: 'T'\ntags: [a, b]\ndescription: what\n---\nintro\n# Head\n## One\n````\n## not\n```\n````\nx\n```a`b\n## One\ny\n## one!\nz"
+    rows = markdown.sections(spark.createDataFrame([("notes/n.md", text), ("q/plain.md", "\n# Only\n~~~\n## in code\n"), ("e.md", None), ("e.md", " \n")], "path string, text string")).orderBy("path", "position").collect()
+    assert [(r.section, r.slug, r.text) for r in rows] == [("", "", "what\n\nintro\n# Head"), ("One", "one", "## One\n````\n## not\n```\n````\nx\n```a`b"), ("One", "one~dup2", "## One\ny"), ("one!", "one~dup3", "## one!\nz"), ("", "", "# Only\n~~~\n## in code")]
+    assert {(r.path, r.title, r.tags) for r in rows} == {("notes/n.md", "T", "a,b"), ("q/plain.md", "Only", "")}
     long = "## Head\n\n" + "p" * 4000 + "\n\ntail"
-    got = markdown.parts(long)
-    assert got == ["## Head\n\n" + "p" * 1800, "p" * 1800, "p" * 400 + "\n\ntail"]
-    assert markdown.parts("## A\n\n" + "## B\n\n" * 400) == [("## A\n\n" + "## B\n\n" * 400).strip()] or len(markdown.parts("## A\n\n" + "## B\n\n" * 400)) == 1
-    assert [markdown.slug(x) for x in ("Foo, Bar_baz", "Čas ok", "!!")] == ["foo-bar-baz", "čas-ok", "section"]
+    heads = "## A\n\n" + "## B\n\n" * 400
+    exact = "p" * 3600 + "\n\nq\n\n\n\nr"
+    got = column(spark, markdown.parts, long, heads, "short", exact, "x" * 1801, "## T\n\n" + "y" * 1799 + "\n\n## End")
+    assert got[0] == ["## Head\n\n" + "p" * 1800, "p" * 1800, "p" * 400 + "\n\ntail"]
+    assert len(got[1]) == 1 and got[1][0].count("## B") == 400 and got[2] == ["short"]
+    assert got[3] == ["p" * 1800, "p" * 1800, "q\n\n\n\nr"] and got[4] == ["x" * 1800, "x"] and got[5] == ["## T\n\n" + "y" * 1799 + "\n\n## End"]
+    pages = markdown.sections(spark.createDataFrame([("l.md", "# L\n" + long)], "path string, text string")).orderBy("position").collect()
+    assert [(r.slug, r.position, r.text[:12]) for r in pages] == [("", 0.0, "# L"), ("head~1", 1.0, "## Head\n\nppp"), ("head~2", 1.001, "## Head\n\nppp"), ("head~3", 1.002, "## Head\n\nppp")]
+    assert column(spark, markdown.slug, "Foo, Bar_baz", "Čas ok", "!!", " - a - ") == ["foo-bar-baz", "čas-ok", "section", "a"]
 
 
 def _line(uuid, ts, role, text, **more):

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from weftline.operators import ingest
+from weftline.operators import commits, ingest
 from weftline.sources import transcripts
 from weftline.streaming import tail
 
@@ -14,7 +14,7 @@ def line(uuid, minute, role="user", text="hi", cwd="/srv/app/deep"):
 
 
 def typed(raw):
-    return transcripts.events(raw).withColumn("project", F.lit("p"))
+    return transcripts.records(raw).withColumn("project", F.lit("p"))
 
 
 def test_stream_is_exactly_once(spark, tmp_path):
@@ -25,9 +25,9 @@ def test_stream_is_exactly_once(spark, tmp_path):
     told = []
 
     def run():
-        q = ingest.follow(typed(tail.follow(spark, str(logs))), store, at, lambda report, n: told.append(n)).trigger(availableNow=True).start()
+        q = commits.follow(typed(tail.follow(spark, str(logs))), store, at, lambda report, n: told.append(n)).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        return ingest.snapshot(spark, store, max(told))
+        return commits.snapshot(spark, store, max(told))
 
     out = run()
     assert sorted(r.uuid for r in out["events"].collect()) == ["u1", "u2"]
@@ -39,7 +39,9 @@ def test_stream_is_exactly_once(spark, tmp_path):
     assert [(r.cwd, r.name) for r in out["projects"].collect()] == [("/srv/app", "app")]
     # a file that shrank is read from its start; what was seen before changes nothing
     file.write_text(line("u1", 1))
-    run()
+    out = run()
+    row = out["sessions"].first()
+    assert (row.byte_offset, row.generation, row.event_count) == (file.stat().st_size, 1, 3)
     file.write_text(line("u1", 1) + line("u4", 4))
     out = run()
     assert sorted(r.uuid for r in out["events"].collect()) == ["u1", "u2", "u3", "u4"] and out["sessions"].first().event_count == 4

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,28 @@ def test_copied_runs_are_cut(spark):
     assert cut(corpus[10:200] + "!" + corpus[50:300]) == corpus[10:130] + " … !" + corpus[50:170] + " … "
 
 
+def test_copied_runs_as_by_plain_search():
+    rng = random.Random(4)
+
+    def plain(text, corpus, least):
+        runs, at = [], 0
+        while True:
+            start = next((i for i in range(at, len(text) - least + 1) if text[i : i + least] in corpus), None)
+            if start is None:
+                return runs
+            end = max(e for e in range(start + least, len(text) + 1) if text[start:e] in corpus)
+            runs.append((start, end))
+            at = len(text) - len(text[end:].lstrip())
+
+    for _ in range(400):
+        corpus = "".join(rng.choice("ab é🙂") for _ in range(rng.randrange(60)))
+        text = "".join(rng.choice([corpus[(i := rng.randrange(len(corpus) + 1)) : i + rng.randrange(20)], rng.choice("ab é#")]) for _ in range(rng.randrange(12)))
+        assert citations.copied_runs(text, corpus, 4) == plain(text, corpus, 4)
+    words = " ".join(f"w{i}" for i in range(20_000))
+    assert citations.copied_runs("x " + words + " # " + words[:5000], words) == [(2, 2 + len(words)), (len(words) + 5, len(words) + 5005)]
+    assert citations.copied_runs("a" * 90_000, "a" * 100_000) == [(0, 90_000)]
+
+
 def test_objects_in_prose(spark):
     got = lambda x: one(spark, citations.first_object(F.col("t")), t=x)
     assert json.loads(got('prose {not} ```json\n{"a": {"b": "}"}} ``` {"c": 1}')) == {"a": {"b": "}"}}
@@ -56,16 +79,14 @@ def test_sections_of_pages(spark):
     assert one(spark, citations.section_of(F.col("t"), "None"), t=page) == ""
 
 
-def test_plans_and_periods():
-    today = dt.date(2026, 9, 9)
-    assert retrieval.period_queries("what did we do last week and in 2026-W30?", today) == ["Dream — 2026-W30", "Dream — 2026-W36"]
-    assert retrieval.period_queries("สัปดาห์นี้ทำอะไร", today) == ["Dream — 2026-W37"] and retrieval.period_queries("weekly todayish", today) == []
-    assert retrieval.plan("Why?", today, lambda q: ["why?", " a ", "b", "c"]) == ["Why?", "a", "b"]
-
-    def broken(question):
-        raise RuntimeError
-
-    assert retrieval.plan("today", today, broken) == ["today", "Dream — 2026-W37"]
+def test_plans_and_periods(spark):
+    rows = [(1, "what did we do last week and in 2026-W30?", None), (2, "สัปดาห์นี้ทำอะไร", []), (3, "weekly todayish", None), (4, " Why? ", ["why?", " a ", "b", "c"]), (5, "today", None), (6, None, ["x", " "])]
+    df = spark.createDataFrame(rows, "id long, question string, asked array<string>")
+    got = {}
+    for r in retrieval.planned(df, F.lit("2026-09-09").cast("date"), asked="asked").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r["query"])
+    assert got[1][1:] == ["Dream — 2026-W30", "Dream — 2026-W36"] and got[2][1:] == ["Dream — 2026-W37"] and got[3] == ["weekly todayish"]
+    assert got[4] == ["Why?", "a", "b"] and got[5] == ["today", "Dream — 2026-W37"] and got[6] == ["x"]
     assert [retrieval.valid_week(x) for x in ("2026-W53", "2026-W54", "2026-W00", None)] == [True, False, False, False]
     assert [retrieval.valid_day(x) for x in (" 2026-02-28 ", "2026-02-30", "x' or 1", 3)] == ["2026-02-28", None, None, None]
 

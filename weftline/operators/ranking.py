@@ -108,24 +108,27 @@ def head(ranked: DataFrame, kind: str, score: str, key: str, k: int, most: int =
 
     A page earns its slot with a score above all events, or as one of the first `most` pages with `share` of the
     best event's score.  Pages come in score order, so a page's rank tells how many were taken before it.
+
+    The first rows of each kind come from one pass that ranks before it shuffles; only pages above all events, of
+    which there may be any number, are taken from a second one.
     """
     event = F.col(kind) == "event"
-    best = ranked.agg(F.coalesce(F.max(F.when(event, F.col(score))), F.lit(0.0)).alias("_best"))
     by = [F.desc(score), F.when(event, 0).otherwise(1), F.col(key)]
-    events = ranked.where(event).orderBy(*by).limit(k).withColumn("_tier", F.lit(0))
-    # a page's rank matters only among the first `most`; pages above the best event are a filter
-    scored = ranked.where(~event).join(F.broadcast(best))  # best: one row
-    above = scored.where(F.col(score) > F.col("_best")).withColumn("_tier", F.lit(0))
-    below = scored.where(F.col(score) <= F.col("_best")).orderBy(*by).limit(k + most)
-    seats = above.agg(F.greatest(F.lit(0), F.lit(most) - F.count(F.lit(1))).alias("_seats"))
-    placed = below.withColumn("_at", F.row_number().over(W.orderBy(*by))).join(F.broadcast(seats))  # k + most rows
-    earned = (F.col("_at") <= F.col("_seats")) & (F.col(score) >= share * F.col("_best"))
-    below = placed.withColumn("_tier", F.when(earned, 0).otherwise(1))
-    told = events.unionByName(above.select(*ranked.columns, "_tier")).unionByName(below.select(*ranked.columns, "_tier"))
-    first = told.agg(F.count_if(F.col("_tier") == 0).alias("_n"))
-    rest = told.where("_tier = 1").orderBy(*by).limit(k)
-    out = told.where("_tier = 0").unionByName(rest).withColumn("place", F.row_number().over(W.orderBy("_tier", *by)).cast("long"))
-    return out.join(F.broadcast(first)).where(F.col("place") <= F.greatest(F.lit(k), F.col("_n"))).select(*ranked.columns, "place")
+    few = W.partitionBy()
+    first = ranked.withColumn("_at", F.row_number().over(W.partitionBy(kind).orderBy(F.desc(score), key))).where(F.col("_at") <= k + most)
+    # from here on at most k + most rows of each kind
+    first = first.withColumn("_best", F.coalesce(F.max(F.when(event, F.col(score))).over(few), F.lit(0.0)))
+    first = first.withColumn("_above", ~event & (F.col(score) > F.col("_best")))
+    first = first.withColumn("_seats", F.greatest(F.lit(0), F.lit(most) - F.sum(F.col("_above").cast("int")).over(few)))
+    first = first.withColumn("_nth", F.row_number().over(W.partitionBy(event, "_above").orderBy(*by)))
+    earned = (F.col("_nth") <= F.col("_seats")) & (F.col(score) >= share * F.col("_best"))
+    tier = F.when(event, F.when(F.col("_nth") <= k, 0)).when(~F.col("_above"), F.when(earned, 0).otherwise(1))
+    told = first.withColumn("_tier", tier).where("_tier is not null").select(*ranked.columns, "_tier")
+    best = ranked.where(event).agg(F.coalesce(F.max(score), F.lit(0.0)).alias("_best"))
+    above = ranked.where(~event).join(F.broadcast(best)).where(F.col(score) > F.col("_best"))  # best: one row
+    told = told.unionByName(above.select(*ranked.columns, F.lit(0).alias("_tier")))
+    told = told.withColumn("place", F.row_number().over(W.orderBy("_tier", *by)).cast("long")).withColumn("_n", F.sum((F.col("_tier") == 0).cast("int")).over(few))
+    return told.where(F.col("place") <= F.greatest(F.lit(k), F.col("_n"))).select(*ranked.columns, "place")
 
 
 def snippet(text: Column, terms: list[str], width: int = 900, before: int = 240) -> Column:

@@ -104,9 +104,11 @@ def week_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(iso_week(F.col("ts")).alias("iso_week")).agg(F.max(F.greatest("ts", moved)).alias("stamp"))
 
 
-@query("digest_sessions", "SELECT conv_id, count(*) AS events, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') >= 2 AND count(*) >= 4")
+@query("digest_sessions", "SELECT conv_id // 4 AS session, count(*) AS events, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') >= 2 AND count(*) >= 10")
 def digest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("role") == "user").alias("users")).where("users >= 2 and events >= 4")
+    """Sessions (here of four conversations) with two questions and ten events or more."""
+    by = table(spark, sf_dir, "conversations").groupBy(F.expr("conv_id div 4").alias("session"))
+    return by.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("role") == "user").alias("users")).where("users >= 2 and events >= 10")
 
 
 @query("digest_cache", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 1 THEN 'gave_up' WHEN n_chars > 1000 THEN 'changed' ELSE 'reused' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -46,11 +46,12 @@ def sessions(ev: DataFrame) -> DataFrame:
     return ev.withColumn("asked", asked).groupBy("session").agg(F.first("project").alias("project"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("event_count"), F.substring(F.min_by("text", "asked"), 1, 4000).alias("first_prompt"))
 
 
-def page(df: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first `limit` rows in order, with a flag that says whether more were there."""
-    cut = df.orderBy(*order).limit(limit + 1)
-    seen = cut.agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return cut.orderBy(*order).limit(limit).join(F.broadcast(seen))  # seen: one row
+def page(df: DataFrame, order: list, limit: int, full: bool = False) -> DataFrame:
+    """The first `limit` rows in order, with a flag that says whether more were there (`full`: whether the page is full)."""
+    cut = df.orderBy(*order).limit(limit if full else limit + 1)
+    # one pass over the input; the windows see at most limit + 1 rows
+    marked = cut.withColumn("_at", F.row_number().over(W.orderBy(*order))).withColumn("truncated", F.count(F.lit(1)).over(W.partitionBy()) >= (limit if full else limit + 1))
+    return marked.where(F.col("_at") <= limit).drop("_at")
 
 
 @query(
@@ -64,37 +65,48 @@ def console_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.orderBy(F.desc_nulls_last("last_ts"), "project").limit(console_limit(12, 200, 1000))
 
 
-def search(ev: DataFrame, pr: DataFrame, text: str = "", project: str = "", role: str = "", session: str = "", limit: object = 30) -> DataFrame:
-    """Newest events that hold a literal, by project path, role and session prefix; hits are cut before names are looked up."""
+def search(ev: DataFrame, pr: DataFrame, text: str = "", project: str = "", role: str = "", session: str = "", limit: object = 30, project_id: object = None) -> DataFrame:
+    """Newest events that hold a literal, by project path or id, role and session prefix; a full page counts as truncated."""
     hits = ev.join(pr.select("project", "path", "name"), "project", "left").where("role <> ''")
     if text:
         hits = hits.where(contains_literal(F.col("text"), text))
     if project:
         hits = hits.where(contains_literal(F.coalesce("path", F.lit("")), project))
+    if project_id is not None:
+        hits = hits.where(F.col("project") == project_id)
     if role:
         hits = hits.where(F.col("role") == role)
     if session:
         hits = hits.where(F.col("session").cast("string").startswith(session))
     most = console_limit(limit, 30, 200)
-    shown = page(hits.select("id", "session", "ts", "role", F.coalesce("path", F.lit("")).alias("project_path"), F.substring("text", 1, 600).alias("snippet")), [F.desc("ts"), F.desc("id")], most)
+    shown = page(hits.select("id", "session", "ts", "role", F.coalesce("path", F.lit("")).alias("project_path"), F.substring("text", 1, 600).alias("snippet")), [F.desc("ts"), F.desc("id")], most, full=True)
     return shown
 
 
 @query(
     "console_search",
-    STORE_SQL + """, h AS (SELECT id, session, ts, role, coalesce(path, '') AS project_path, substr(text, 1, 600) AS snippet FROM ev LEFT JOIN pr USING (project) WHERE role <> '' AND role = 'assistant' AND contains(lower(text), 'le') AND contains(coalesce(path, ''), 'an'))
-SELECT *, (SELECT count(*) > 20 FROM h) AS truncated FROM h ORDER BY ts DESC, id DESC LIMIT 20""",
+    STORE_SQL + """, h AS (SELECT id, session, ts, role, coalesce(path, '') AS project_path, substr(text, 1, 600) AS snippet FROM ev LEFT JOIN pr USING (project) WHERE role <> '' AND role = 'assistant' AND contains(lower(text), 'er') AND contains(coalesce(path, ''), '_1'))
+SELECT *, (SELECT count(*) >= 20 FROM h) AS truncated FROM h ORDER BY ts DESC, id DESC LIMIT 20""",
 )
 def console_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(events(spark, sf_dir), projects(spark, sf_dir), "LE", "AN", "assistant", "", 20)
+    return search(events(spark, sf_dir), projects(spark, sf_dir), "ER", "_1", "assistant", "", 20)
 
 
-@query("console_newest", STORE_SQL + """SELECT id, session, ts, role, coalesce(path, '') AS project_path, substr(text, 1, 600) AS snippet, (SELECT count(*) > 30 FROM ev WHERE session::VARCHAR LIKE '1%') AS truncated FROM ev LEFT JOIN pr USING (project) WHERE session::VARCHAR LIKE '1%' ORDER BY ts DESC, id DESC LIMIT 30""")
+@query("console_newest", STORE_SQL + """SELECT id, session, ts, role, coalesce(path, '') AS project_path, substr(text, 1, 600) AS snippet, (SELECT count(*) >= 30 FROM ev WHERE session::VARCHAR LIKE '1%') AS truncated FROM ev LEFT JOIN pr USING (project) WHERE session::VARCHAR LIKE '1%' ORDER BY ts DESC, id DESC LIMIT 30""")
 def console_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No text is the newest window; a limit out of range is the default."""
     return search(events(spark, sf_dir), projects(spark, sf_dir), session="1", limit=5000)
 
 
+@query(
+    "console_project_search",
+    STORE_SQL + """, h AS (SELECT id, session, ts, role, coalesce(path, '') AS project_path, substr(text, 1, 600) AS snippet FROM ev LEFT JOIN pr USING (project) WHERE role <> '' AND contains(lower(text), 'th') AND project = 7)
+SELECT *, (SELECT count(*) >= 200 FROM h) AS truncated FROM h ORDER BY ts DESC, id DESC LIMIT 200""",
+)
+def console_project_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(events(spark, sf_dir), projects(spark, sf_dir), "Th", project_id=7, limit=200)
+
+
 @query(
     "console_days",
     STORE_SQL + """, d AS (SELECT day, session, count(*) AS events, count(*) FILTER (role = 'user') AS user_msgs, min(ts) AS first_ts, max(ts) AS last_ts, substr(arg_min(text, (ts, id)) FILTER (role = 'user' AND trim(text) <> ''), 1, 200) AS preview
@@ -123,10 +135,10 @@ def console_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.orderBy(F.desc("last_ts"), "session").limit(10).select("session", F.coalesce("path", F.lit("")).alias("project_path"), "event_count", "last_ts", F.substring("first_prompt", 1, 300).alias("first_prompt"))
 
 
-@query("console_weeks", STORE_SQL + """SELECT iso_week, session, coalesce(name, '') AS project_name, count(*) AS event_count, count(*) FILTER (role = 'user') AS user_count, max(ts) AS last_ts FROM ew LEFT JOIN pr USING (project) GROUP BY 1, 2, 3 ORDER BY iso_week DESC, event_count DESC, session LIMIT 25""")
+@query("console_weeks", STORE_SQL + """SELECT iso_week, session, coalesce(name, '') AS project_name, count(*) AS event_count, count(*) FILTER (role = 'user') AS user_count, max(ts) AS last_ts FROM ew LEFT JOIN pr USING (project) GROUP BY 1, 2, 3 ORDER BY iso_week DESC, last_ts DESC, session LIMIT 25""")
 def console_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = events(spark, sf_dir).groupBy("iso_week", "session", "project").agg(F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("role") == "user").alias("user_count"), F.max("ts").alias("last_ts"))
-    top = weeks.orderBy(F.desc("iso_week"), F.desc("event_count"), "session").limit(25)
+    top = weeks.orderBy(F.desc("iso_week"), F.desc("last_ts"), "session").limit(25)
     return top.join(projects(spark, sf_dir).select("project", "name"), "project", "left").select("iso_week", "session", F.coalesce("name", F.lit("")).alias("project_name"), "event_count", "user_count", "last_ts")
 
 
@@ -209,9 +221,9 @@ def live_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("i <= 5").select("id", "session", "role", (short != F.col("text")).alias("cut"), F.when(short == F.col("text"), short).alias("whole"), (F.col("n") > 5).alias("truncated"))
 
 
-@query("live_filter", STORE_SQL + "SELECT id FROM ev WHERE role IN ('user', 'assistant') AND (length(text) >= 200 OR tools <> '[]')")
+@query("live_filter", STORE_SQL + "SELECT id FROM ev WHERE role IN ('user', 'assistant') AND (length(text) >= 20 OR tools <> '[]')")
 def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("role in ('user', 'assistant') and (length(text) >= 200 or tools <> '[]')").select("id")
+    return events(spark, sf_dir).where("role in ('user', 'assistant') and (length(text) >= 20 or tools <> '[]')").select("id")
 
 
 @query("retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
@@ -315,7 +327,27 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ingest_projects", STORE_SQL + "SELECT project, CASE WHEN bool_or(line_no = 1) THEN '/srv/' || project ELSE '/srv/' || project || '/sub' END AS cwd, CASE WHEN bool_or(line_no = 1) THEN project::VARCHAR ELSE 'sub' END AS name FROM ev GROUP BY 1")
 def ingest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingested(spark, sf_dir)["projects"]
+    return ingested(spark, sf_dir)["projects"].select("project", "cwd", "name")
+
+
+@query("ingest_conflicts", STORE_SQL + """, o AS (SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY session ORDER BY line_no)::BIGINT AS end_offset FROM ev),
+h AS (SELECT session, max(end_offset) AS have FROM o WHERE line_no < 3 GROUP BY 1),
+b AS (SELECT session, min(end_offset - strlen(text) - 1)::BIGINT AS want, max(end_offset) AS to_offset, count(*) AS n FROM o WHERE line_no >= CASE session % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END GROUP BY 1)
+SELECT session, CASE WHEN have = want THEN 'accepted' ELSE 'conflict' END AS outcome, have, want, CASE WHEN have = want THEN n ELSE 0 END AS inserted, CASE WHEN have = want THEN to_offset ELSE have END AS byte_offset FROM b JOIN h USING (session)""")
+def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch goes on where the first one ended, leaves lines out, or brings some again: only the first is taken."""
+    start = F.col("end_offset") - F.octet_length("text") - 1
+    lines = lambda where: _batch(spark, sf_dir, where).withColumn("start_offset", start).withColumn("generation", F.lit(0))
+    out = ingest.apply(lines("line_no >= CASE session % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END"), ingest.apply(lines("line_no < 3")), F.lit("2024-02-01").cast("timestamp_ntz"))
+    return out["report"].select("session", "outcome", "have", "want", "inserted").join(out["sessions"].select("session", "byte_offset"), "session")
+
+
+@query("live_cut_rows", STORE_SQL + """, v AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line_no, id) AS nth, count(*) OVER (PARTITION BY session) AS n FROM ev WHERE role <> '' AND (text <> '' OR tools <> '[]'))
+SELECT v.session, nth, id::VARCHAR AS uuid, substr(text, 1, CASE WHEN strlen(text) <= 280 THEN length(text) ELSE len(list_filter(range(1, 281), lambda i: i <= length(text) AND strlen(substr(text, 1, i)) <= 280)) END) AS text, '/srv/' || project AS project_path, n > 5 AS truncated FROM v WHERE nth <= 5""")
+def live_cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live message carries of a batch after its commit, its texts cut between characters, with the projects looked up."""
+    out = ingest.apply(_batch(spark, sf_dir, "true"), None, F.lit("2024-02-01").cast("timestamp_ntz"))
+    return ingest.live_rows(out["inserted"], out["sessions"], out["projects"], 5).select("session", F.col("nth").cast("long"), "uuid", "text", "project_path", "truncated")
 
 
 @query("submit_batches", """WITH r AS (SELECT user_id::VARCHAR AS path, event_type, row_number() OVER w AS line_no, sum(octet_length(encode(props)) + 1) OVER w AS line_end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

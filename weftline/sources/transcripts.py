@@ -33,19 +33,23 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     return numbered.where("end_offset <= file_size and trim(value) <> ''").select(F.col("file_path").alias("path"), "line_no", "end_offset", "value")
 
 
-def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
-    """Typed events of raw lines (path, line_no, value[, end_offset]); lines without uuid or a valid time are left out."""
-    line = F.from_json(F.trim("value"), LINE, {"mode": "PERMISSIVE"})
-    df = raw.where(F.trim("value").startswith("{")).withColumn("j", line)
+def records(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
+    """Every raw line (path, line_no, value, ...) with its fields; a line that is no event has an empty uuid or no time.
+
+    Columns of raw that place a line (start_offset, end_offset, generation) are kept.
+    """
+    trimmed = F.trim("value")
+    line = F.when(trimmed.startswith("{"), F.from_json(trimmed, LINE, {"mode": "PERMISSIVE"}))
+    df = raw.withColumn("j", line)
     ts = F.try_to_timestamp(F.col("j.timestamp"))
-    df = df.withColumn("ts", F.date_trunc("millisecond", ts).cast("timestamp_ntz")).where((F.coalesce("j.uuid", F.lit("")) != "") & F.col("ts").isNotNull())
+    df = df.withColumn("ts", F.date_trunc("millisecond", ts).cast("timestamp_ntz"))
     message = flattened(as_json("j.message.content"))
     df = df.withColumn("m", message).withColumn("c", flattened(as_json("j.content")))
     filled = F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in ("m.text", "j.summary", "c.text")], F.lit(""))
     text = lambda x: F.coalesce(F.col(x), F.lit(""))
     return df.select(
         "path",
-        F.col("j.uuid").alias("uuid"),
+        text("j.uuid").alias("uuid"),
         text("j.parentUuid").alias("parent_uuid"),
         session_id(F.col("path")).alias("session"),
         "ts",
@@ -54,16 +58,21 @@ def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
         text("j.message.role").alias("role"),
         text("j.message.model").alias("model"),
         truncated(filled, TEXT_BYTES).alias("text"),
-        F.to_json("m.tools").alias("tools"),
+        F.coalesce(F.to_json("m.tools"), F.lit("[]")).alias("tools"),
         text("j.cwd").alias("cwd"),
         text("j.gitBranch").alias("git_branch"),
         F.coalesce("j.isSidechain", F.lit(False)).alias("sidechain"),
         "line_no",
-        F.octet_length(F.trim("value")).cast("long").alias("raw_bytes"),
-        *(["end_offset"] if "end_offset" in raw.columns else []),
+        F.octet_length(trimmed).cast("long").alias("raw_bytes"),
+        *[c for c in ("start_offset", "end_offset", "generation") if c in raw.columns],
     )
 
 
+def events(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
+    """Typed events of raw lines (path, line_no, value[, ...]); lines without uuid or a valid time are left out."""
+    return records(raw.where(F.trim("value").startswith("{")), zone).where((F.col("uuid") != "") & F.col("ts").isNotNull())
+
+
 def as_json(name: str) -> Column:
     """A field read as string: JSON arrays and objects as they are, anything else quoted."""
     value = F.col(name)
