@@ -190,3 +190,49 @@ def test_a_thousand_files_over_many_batches_and_a_restart(spark, tmp_path):
     rows = spark.read.parquet(out)
     assert rows.count() == rows.select("path", "start_offset").distinct().count() == sum(1 + i % 3 for i in range(1000))
     assert rows.select("batch").distinct().count() >= 5
+
+
+def test_lines_are_placed_over_blocks(spark, tmp_path):
+    rng = random.Random(7)
+    want = []
+    for i in range(6):
+        at, data = 0, b""
+        for n in range(rng.randrange(1, 400)):
+            value = ("é" * rng.randrange(3) + "x" * rng.choice([0, 3, 50, 900])).encode()
+            data += value + b"\n"
+            if value:
+                want.append((f"f{i}.jsonl", n + 1, at, len(data), value.decode()))
+            at = len(data)
+        (tmp_path / f"f{i}.jsonl").write_bytes(data + (b"open end" if i % 2 else b""))
+    held = {x: spark.conf.get(x) for x in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        df = transcripts.lines(spark, str(tmp_path))
+        got = sorted((r.path.rsplit("/", 1)[-1], r.line_no, r.start_offset, r.end_offset, r.value) for r in df.collect())
+    finally:
+        for x, v in held.items():
+            spark.conf.set(x, v)
+    assert got == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "value#" not in window[: window.index("MapInArrow")].split("Window", 1)[1].split("Aggregate")[0]
+
+
+def test_unread_lines_are_a_claim(spark, tmp_path):
+    file = tmp_path / "s.jsonl"
+    file.write_text(line("u1") + line("u2", 2))
+    typed = lambda raw: transcripts.records(raw).withColumn("project", F.lit("p"))
+    fresh = lambda out: typed(transcripts.unread(transcripts.lines(spark, str(tmp_path)), ingest.tail_state(out["sessions"])))
+    none = spark.createDataFrame([], "path string, byte_offset long, generation long")
+    out = applied(typed(transcripts.unread(transcripts.lines(spark, str(tmp_path)), none)))
+    assert out["sessions"].first().byte_offset == file.stat().st_size and fresh(out).count() == 0
+    file.write_text(file.read_text() + line("u3", 3))
+    out = applied(fresh(out), out)
+    assert [(r.outcome, r.inserted) for r in out["report"].collect()] == [("accepted", 1)]
+    file.write_text(line("u1"))  # cut and rewritten: the offset is set back, what is known is skipped
+    out = applied(fresh(out), out)
+    report = out["report"].first()
+    assert (report.outcome, report.inserted, report.replayed) == ("accepted", 0, 1)
+    assert (out["sessions"].first().byte_offset, out["sessions"].first().generation) == (len(line("u1")), 1)

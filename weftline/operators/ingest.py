@@ -242,5 +242,5 @@ def without_ids(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame
 
 
 def tail_state(sessions: DataFrame) -> DataFrame:
-    """What a reader of files must know to go on: (path, byte_offset, session)."""
-    return sessions.select("path", "byte_offset", "session")
+    """What a reader of files must know to go on: (path, byte_offset, session), and how often the file began anew."""
+    return sessions.select("path", "byte_offset", "session", *[c for c in ("generation",) if c in sessions.columns])

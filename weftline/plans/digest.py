@@ -29,12 +29,13 @@ def tool_output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = BM25_SQL.rstrip() + ", h AS (SELECT doc_id, round(score, 6) AS score, lang, source FROM r JOIN documents USING (doc_id)) "
 
 
-@query("topic_material", _SCORED.rstrip() + """, fl AS (SELECT * FROM h WHERE score >= 0.5 * (SELECT max(score) FROM h)),
+@query("topic_material", _SCORED.rstrip() + f""", l AS (SELECT h.*, list_slice(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1, 8) AS l FROM h JOIN documents USING (doc_id)),
+fl AS (SELECT * FROM (SELECT *, list_transform(l, lambda x: regexp_matches(x, '{DUMP_LINE}')) AS m FROM l) WHERE score >= 0.5 * (SELECT max(score) FROM h) AND NOT (len(list_filter(m, lambda x: x)) >= 3 OR (coalesce(m[1], false) AND len(l) > 1))),
 p AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS pick, max(score) OVER (PARTITION BY lang, source) AS best FROM fl),
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pick, best DESC, source) AS place FROM p WHERE pick <= 12)
 SELECT doc_id, lang AS horizon, source, score, pick, place FROM q WHERE place <= 12""")
 def topic_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ranking.relevance_floor(_scored(spark, sf_dir)).select("doc_id", F.col("lang").alias("horizon"), "source", "score")
+    kept = ranking.relevance_floor(_scored(spark, sf_dir)).where(~tool_output(F.col("text"))).select("doc_id", F.col("lang").alias("horizon"), "source", "score")
     return sampling.topic_material(kept, "horizon", "source", "score", "doc_id", 48)
 
 

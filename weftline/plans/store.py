@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.functions.sandbox import console_limit
 from weftline.functions.text import contains_literal, truncated
 from weftline.functions.times import iso_week, local_day
-from weftline.operators import ingest, lanes, reduction
+from weftline.operators import digests, ingest, lanes, reduction, replay
 from weftline.plans.console import query, table
 from weftline.sources import transcripts
 
@@ -395,3 +395,63 @@ def reduce_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = F.array(F.struct(F.lit("decisions").alias("name"), F.col("asked").alias("bullets")), F.struct(F.lit("open").alias("name"), F.col("told").alias("bullets")))
     digests = by.select("session", "iso_week", F.array(F.concat(F.lit("s"), "session")).alias("meta"), "summary", sections.alias("sections"))
     return reduction.within_budget(digests, "iso_week", "session", [F.col("session")])
+
+
+@query("newest_events", "SELECT event_id, ts, event_type, props FROM events WHERE event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 500")
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 500 of some kinds: times first, then whole rows of these alone."""
+    rows = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "ts", "event_type", "props")
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return replay.newest(rows, 500, now, "ts", "event_id")
+
+
+@query("newest_widened", STORE_SQL + "SELECT id, session, ts, role, text FROM ev WHERE role = 'system' OR session % 50 = 3 ORDER BY ts DESC, id DESC LIMIT 60")
+def newest_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are rare enough for the first windows to fall short."""
+    ev = events(spark, sf_dir)
+    now = ev.agg(F.max("ts")).first()[0]
+    return replay.newest(ev.where("role = 'system' or session % 50 = 3").select("id", "session", "ts", "role", "text"), 60, now)
+
+
+@query(
+    "replay_window",
+    STORE_SQL.replace("WITH ev", "WITH RECURSIVE ev") + """, v AS (SELECT *, (SELECT max(ts) FROM ev) AS now FROM ev WHERE role IN ('user', 'assistant') AND (length(text) >= 20 OR tools <> '[]')),
+r AS (SELECT 0 AS i, 10080::BIGINT AS m, NULL::BIGINT AS got_m, NULL::BIGINT AS got_n, false AS done UNION ALL
+SELECT i + 1, CASE WHEN n > 0 THEN greatest(1, floor(m * 40 / n * 0.8::DOUBLE))::BIGINT ELSE m END, CASE WHEN i > 0 AND n = 0 THEN got_m ELSE m END, CASE WHEN i > 0 AND n = 0 THEN got_n ELSE n END, (i > 0 AND n = 0) OR n <= 40 OR i >= 4 OR m <= 1
+FROM (SELECT *, (SELECT count(*) FROM v WHERE ts >= now - INTERVAL 1 MINUTE * m) AS n FROM r WHERE NOT done)),
+w AS (SELECT got_m FROM r WHERE done),
+p AS (SELECT v.* FROM v, w WHERE ts >= now - INTERVAL 1 MINUTE * got_m ORDER BY ts DESC, id DESC LIMIT 40)
+SELECT id, p.session, CASE WHEN p.session % 10 = 3 THEN p.session::VARCHAR ELSE 's-' || p.session END AS session_name, coalesce(CASE WHEN p.session % 10 <> 3 THEN path END, '') AS project_path, p.ts,
+CASE WHEN lead(p.ts) OVER (ORDER BY p.ts, id) IS NOT NULL THEN least(2500, greatest(40, date_diff('microsecond', p.ts, lead(p.ts) OVER (ORDER BY p.ts, id)) / 1000 / 10::DOUBLE)) END AS wait_ms FROM p LEFT JOIN pr USING (project)""",
+)
+def replay_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last week, narrowed until some forty rows are left, with the names of those sessions that are known."""
+    ev = events(spark, sf_dir)
+    now = F.lit(ev.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    rows = ev.where("role in ('user', 'assistant') and (length(text) >= 20 or tools <> '[]')").select("id", "session", "ts")
+    names = sessions(ev).where("session % 10 <> 3").select("session", F.concat(F.lit("s-"), "session").alias("session_name"), "project")
+    out = replay.played(rows, replay.narrowed(rows, now, 10_080, 40), now, names, projects(spark, sf_dir), 40)
+    return out.select("id", "session", "session_name", "project_path", "ts", "wait_ms")
+
+
+_ATTEMPTS = "count(*) FILTER (role = 'assistant' AND length(text) >= 300)"
+
+
+@query("digest_outcomes", STORE_SQL + f""", n AS (SELECT session, iso_week, count(*) AS event_count, count(*) FILTER (line_no < 5) AS then_count, {_ATTEMPTS} AS attempts, bool_or(tools <> '[]') AS cached FROM ew GROUP BY 1, 2)
+SELECT session, iso_week, event_count, CASE WHEN cached AND then_count = event_count THEN 'reused' WHEN attempts >= 3 THEN 'gave_up' ELSE 'todo' END AS outcome FROM n""")
+def digest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(spark, sf_dir)
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by week: the cache has those with a tool, as of their first lines; long answers are replies that were no JSON."""
+    by = events(spark, sf_dir).groupBy("session", "iso_week").agg(F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("line_no") < 5).alias("then_count"), F.count_if((F.col("role") == "assistant") & (F.length("text") >= 300)).alias("attempts"), F.bool_or(F.col("tools") != "[]").alias("cached"))
+    cache = by.where("cached").select("session", "iso_week", F.col("then_count").alias("event_count"))
+    tries = by.select("session", "iso_week", "event_count", "attempts")
+    return digests.outcomes(by.select("session", "iso_week", "event_count"), cache, tries)
+
+
+@query("digest_counters", STORE_SQL + f""", n AS (SELECT session, iso_week, count(*) AS event_count, count(*) FILTER (line_no < 5) AS then_count, {_ATTEMPTS} AS attempts, bool_or(tools <> '[]') AS cached FROM ew GROUP BY 1, 2)
+SELECT iso_week, count(*) FILTER (cached AND then_count = event_count) AS reused, count(*) FILTER (NOT (cached AND then_count = event_count) AND attempts >= 3) AS gave_up, count(*) FILTER (NOT (cached AND then_count = event_count) AND attempts < 3) AS todo FROM n GROUP BY 1""")
+def digest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.counters(_digests(spark, sf_dir), "iso_week")

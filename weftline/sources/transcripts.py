@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +23,55 @@ LINE = T.StructType(
 )
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, file_size, block, value) with their number and the bytes up to their end within their block of the file."""
+    path, block, nth, end = None, None, 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        paths, blocks = batch.column(0), batch.column(2).to_numpy()
+        size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        new = np.ones(n, dtype=bool)
+        new[1:] = (blocks[1:] != blocks[:-1]) | pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = (paths[0].as_py(), int(blocks[0])) != (path, block)
+        bytes_up_to, at = np.cumsum(size), np.arange(n)
+        first = np.maximum.accumulate(np.where(new, at, -1))
+        carried = first < 0  # the block of the batch before goes on
+        ends = bytes_up_to - np.where(carried, -end, (bytes_up_to - size)[np.maximum(first, 0)])
+        numbers = at - np.where(carried, -1 - nth, first - 1)
+        path, block, nth, end = paths[n - 1].as_py(), int(blocks[n - 1]), int(numbers[-1]), int(ends[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(ends)], names=["path", "file_size", "block", "value", "nth", "end"])
+
+
 def lines(spark: SparkSession, root: str) -> DataFrame:
-    """(path, line_no, end_offset, value) of all *.jsonl files below root, folders named memory left out.
+    """(path, line_no, start_offset, end_offset, file_size, value) of all *.jsonl files below root, folders named memory left out.
 
-    Files are read as lines in splits, so none has to fit a task.  A line's end is the running sum of the bytes before
-    it; one that would end beyond its file has no line break yet and is held back.
+    Files are read as lines in blocks, so none has to fit a task.  Lines are placed by two levels of sums: within their
+    block as it is read, and of whole blocks (a row for each) before it; the lines themselves are never moved or sorted.
+    A line that would end beyond its file has no line break yet and is held back.
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
-    placed = raw.select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
-    placed = placed.where(~F.col("file_path").contains("/memory/"))
-    by = W.partitionBy("file_path").orderBy("file_block_start", "_at")
-    end = F.sum(F.octet_length("value") + 1).over(by).cast("long")
-    numbered = placed.withColumn("line_no", F.row_number().over(by).cast("long")).withColumn("end_offset", end)
-    return numbered.where("end_offset <= file_size and trim(value) <> ''").select(F.col("file_path").alias("path"), "line_no", "end_offset", "value")
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), "value").where(~F.col("path").contains("/memory/"))
+    placed = raw.mapInArrow(_placed, "path string, file_size long, block long, value string, nth long, end long")
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = placed.groupBy("path", "block").agg(F.max("nth").alias("n"), F.max("end").alias("size"))
+    blocks = blocks.select("path", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "size")])
+    numbered = placed.join(blocks, ["path", "block"]).withColumn("end_offset", F.col("size_before") + F.col("end")).where("end_offset <= file_size and trim(value) <> ''")
+    return numbered.select("path", (F.col("n_before") + F.col("nth")).alias("line_no"), (F.col("end_offset") - F.octet_length("value") - 1).alias("start_offset"), "end_offset", "file_size", "value")
+
+
+def unread(raw: DataFrame, state: DataFrame) -> DataFrame:
+    """The lines (as lines() gives them) that are new by a tail state (path, byte_offset, generation), as a claim that apply() takes.
+
+    A file that is shorter than what was read of it begins a new generation at its first line.
+    """
+    have = state.select("path", F.col("byte_offset").alias("_read"), F.col("generation").alias("_generation"))
+    joined = raw.join(have, "path", "left")
+    anew = F.col("file_size") < F.col("_read")
+    generation = F.coalesce(F.col("_generation"), F.lit(0)).cast("long") + F.when(anew, 1).otherwise(0)
+    fresh = F.col("_read").isNull() | anew | (F.col("start_offset") >= F.col("_read"))
+    return joined.withColumn("generation", generation).where(fresh).drop("_read", "_generation")
 
 
 def records(raw: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
