@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import markdown, safety
@@ -129,6 +130,13 @@ def test_written_index(spark, tmp_path):
     want = {r.doc_id: r.score for r in ranking.bm25(docs, ["beta", "delta"]).collect()}
     plan = ranking.search_index(spark, path, ["beta", "delta"])
     assert {r.doc_id: r.score for r in plan.collect()} == want and set(want) == {1, 2, 4}
+    # what broke off before its statistics is not there
+    spark.createDataFrame([(9, 1, "beta", 1, 0)], "doc_id long, doc_len int, term string, tf long, bucket int").write.partitionBy("bucket").parquet(f"{path}/postings/batch=2")
+    assert {r.doc_id for r in ranking.search_index(spark, path, ["beta", "delta"]).collect()} == {1, 2, 4}
+    ranking.fold_new(spark.createDataFrame([(5, "beta")], "doc_id long, text string"), path)
+    assert {r.doc_id for r in ranking.search_index(spark, path, ["beta"]).collect()} == {1, 2, 5}
+    with pytest.raises(ValueError):
+        ranking.write_index(docs, path)
 
 
 def test_embedding_goes_on_where_it_ended(spark, tmp_path):

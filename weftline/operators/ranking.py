@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 K1, B = 1.2, 0.75
+#: Buckets of terms of a written index.
+BUCKETS = 32
 RRF_K = 60
 
 
@@ -30,49 +33,106 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("doc_len"))
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "overwrite") -> None:
-    """The full-text index as two tables: postings in term order, so that a search reads the row groups of its terms, and lengths."""
-    postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
-    lengths(docs, id_col, text_col).write.mode(mode).parquet(f"{path}/lengths")
+def _committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The statistics of the batches of an index; None where there is none."""
+    try:
+        return spark.read.parquet(f"{path}/statistics")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _add(docs: DataFrame, path: str, number: int, id_col: str, text_col: str) -> None:
+    """One batch: postings by term bucket and in term order, its documents, and last its statistics, which commit it."""
+    spark = docs.sparkSession
+    hits = postings(docs, id_col, text_col).withColumn("bucket", bucket(F.col("term")))
+    hits.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+    size = lengths(docs, id_col, text_col)
+    size.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+    stored = spark.read.schema(size.schema).parquet(f"{path}/documents/batch={number}")
+    stored.agg(F.count(F.lit(1)).alias("n"), F.count("doc_len").alias("counted"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics/batch={number}")
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """A full-text index in an empty folder: postings in term order within buckets of terms, documents, and their statistics."""
+    if _committed(docs.sparkSession, path) is not None:
+        raise ValueError(f"there is an index in {path}; fold_new() adds to it")
+    _add(docs, path, 0, id_col, text_col)
 
 
 def fold_new(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Documents that the index lacks are added to it; those that it has are left as they are."""
-    have = docs.sparkSession.read.parquet(f"{path}/lengths").select(F.col("doc_id").alias(id_col))
-    write_index(docs.join(have, id_col, "left_anti"), path, id_col, text_col, "append")
+    """Documents that the index lacks are added to it, as a batch of its own; those that it has are left as they are.
+
+    Postings, documents and statistics are read up to the last statistics alone, so a batch that broke off is not seen
+    and is written over by the next one.
+    """
+    spark = docs.sparkSession
+    stats = _committed(spark, path)
+    if stats is None:
+        return _add(docs, path, 0, id_col, text_col)
+    last = stats.agg(F.max("batch")).first()[0]
+    have = spark.read.parquet(f"{path}/documents").where(F.col("batch") <= last).select(F.col("doc_id").alias(id_col))
+    fresh = docs.join(have, id_col, "left_anti")
+    return None if fresh.isEmpty() else _add(fresh, path, last + 1, id_col, text_col)
 
 
 def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """(doc_id, score) by BM25 over a written index; only postings of the terms are read, and lengths for the statistics."""
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*terms))
-    stats = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean"))
-    return _scores(hits, stats)
+    """(doc_id, score) by BM25 over a written index; of the postings only the buckets and row groups of the terms are read."""
+    stats = _committed(spark, path)
+    last = stats.agg(F.max("batch")).first()[0]
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).collect()]
+    hits = spark.read.parquet(f"{path}/postings").where((F.col("batch") <= last) & F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("doc_id", "doc_len", "term", "tf")
+    return _scores(hits, stats.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("counted")).alias("mean")))
 
 
-def _scores(hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """hits: (doc_id, doc_len, term, tf) of the terms asked for; stats: one row."""
+def _scores(hits: DataFrame, stats: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """hits: (doc_id, doc_len, term, tf) of the terms asked for; stats: one row; asked: (query, term), for a score by query."""
     held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row for each term asked for
     tf, df, n = F.col("tf"), F.col("df"), F.col("n")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
     joined = hits.join(F.broadcast(held), "term").join(F.broadcast(stats))
-    return joined.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-
+    if asked is not None:
+        joined = joined.join(F.broadcast(asked), "term")  # a row for each word of the queries
+    return joined.groupBy(*(["query"] if asked is not None else []), "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
-def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of the documents with any of the terms, without a written index.
 
-    Only texts that may hold a term are split; the others are counted for the statistics by length alone.
-    """
+def term_hits(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc_len, term, tf) of the terms; only texts that hold one as a substring are split into words."""
     low = F.lower(text_col)
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     # a text that does not even hold a term as a substring can't hold it as a word
     maybe = F.coalesce(F.greatest(*[F.contains(low, F.lit(t)) for t in terms]) if len(terms) > 1 else F.contains(low, F.lit(terms[0])) if terms else F.lit(False), F.lit(False))
     hits = docs.where(maybe).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
     hits = hits.select("doc_id", F.size("w").alias("doc_len"), F.explode(F.filter("w", lambda x: F.array_contains(wanted, x))).alias("term"))
-    hits = hits.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(token_count(F.col(text_col))).alias("mean"))
-    return _scores(hits, stats)
+    return hits.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row (n, mean): how many documents, and their mean length in words."""
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(token_count(F.col(text_col))).alias("mean"))
+
+
+def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of the documents with any of the terms, without a written index.
+
+    Only texts that may hold a term are split; the others are counted for the statistics by length alone.
+    """
+    return _scores(term_hits(docs, terms, id_col, text_col), statistics(docs, text_col))
+
+
+def bm25_many(docs: DataFrame, queries: list[list[str]], limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query, doc_id, score, place): the best `limit` documents of each list of terms, all of them in one pass over the texts."""
+    terms = sorted({t for q in queries for t in q})
+    asked = docs.sparkSession.createDataFrame([(i, t) for i, q in enumerate(queries) for t in dict.fromkeys(q)], "query int, term string")
+    scored = _scores(term_hits(docs, terms, id_col, text_col), statistics(docs, text_col), asked)
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def reciprocal(df: DataFrame, weight: float, *by: Column) -> DataFrame:
@@ -103,30 +163,33 @@ def relevance_floor(df: DataFrame, score: str = "score", share: float = 0.5) ->
     return df.join(F.broadcast(best)).where(F.col(score) >= share * F.col("_best")).drop("_best")  # best: one row
 
 
-def head(ranked: DataFrame, kind: str, score: str, key: str, k: int, most: int = 2, share: float = 0.5) -> DataFrame:
+def head(ranked: DataFrame, kind: str, score: str, key: str, k: int, most: int = 2, share: float = 0.5, short: bool = False) -> DataFrame:
     """The top k events, and the pages that earned a slot beside them; further pages only fill up to k.
 
     A page earns its slot with a score above all events, or as one of the first `most` pages with `share` of the
     best event's score.  Pages come in score order, so a page's rank tells how many were taken before it.
 
     The first rows of each kind come from one pass that ranks before it shuffles; only pages above all events, of
-    which there may be any number, are taken from a second one.
+    which there may be any number, are taken from a second one.  A list that is known to be short (short: one that was fused
+    of top-k lists) is ranked as a whole instead, in one pass.
     """
     event = F.col(kind) == "event"
     by = [F.desc(score), F.when(event, 0).otherwise(1), F.col(key)]
     few = W.partitionBy()
-    first = ranked.withColumn("_at", F.row_number().over(W.partitionBy(kind).orderBy(F.desc(score), key))).where(F.col("_at") <= k + most)
+    first = ranked.withColumn("_at", F.row_number().over(W.partitionBy(kind).orderBy(F.desc(score), key)))
+    first = first if short else first.where(F.col("_at") <= k + most)
     # from here on at most k + most rows of each kind
     first = first.withColumn("_best", F.coalesce(F.max(F.when(event, F.col(score))).over(few), F.lit(0.0)))
     first = first.withColumn("_above", ~event & (F.col(score) > F.col("_best")))
     first = first.withColumn("_seats", F.greatest(F.lit(0), F.lit(most) - F.sum(F.col("_above").cast("int")).over(few)))
     first = first.withColumn("_nth", F.row_number().over(W.partitionBy(event, "_above").orderBy(*by)))
     earned = (F.col("_nth") <= F.col("_seats")) & (F.col(score) >= share * F.col("_best"))
-    tier = F.when(event, F.when(F.col("_nth") <= k, 0)).when(~F.col("_above"), F.when(earned, 0).otherwise(1))
+    tier = F.when(event, F.when(F.col("_nth") <= k, 0)).when(F.col("_above"), F.lit(0) if short else F.lit(None)).otherwise(F.when(earned, 0).otherwise(1))
     told = first.withColumn("_tier", tier).where("_tier is not null").select(*ranked.columns, "_tier")
-    best = ranked.where(event).agg(F.coalesce(F.max(score), F.lit(0.0)).alias("_best"))
-    above = ranked.where(~event).join(F.broadcast(best)).where(F.col(score) > F.col("_best"))  # best: one row
-    told = told.unionByName(above.select(*ranked.columns, F.lit(0).alias("_tier")))
+    if not short:
+        best = ranked.where(event).agg(F.coalesce(F.max(score), F.lit(0.0)).alias("_best"))
+        above = ranked.where(~event).join(F.broadcast(best)).where(F.col(score) > F.col("_best"))  # best: one row
+        told = told.unionByName(above.select(*ranked.columns, F.lit(0).alias("_tier")))
     told = told.withColumn("place", F.row_number().over(W.orderBy("_tier", *by)).cast("long")).withColumn("_n", F.sum((F.col("_tier") == 0).cast("int")).over(few))
     return told.where(F.col("place") <= F.greatest(F.lit(k), F.col("_n"))).select(*ranked.columns, "place")
 

@@ -77,14 +77,13 @@ def terms_of(query: str) -> list[str]:
 def search_many(queries: list[str], events: DataFrame, wiki: DataFrame | None, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(kind, key, score): the sum over queries of 1 / (60 + rank) for events and 0.7 / (60 + rank) for wiki sections.
 
-    Each list is a top-k, so only a few rows for each query are ranked.
+    All queries are answered in one pass over the texts of each kind; each list is a top-k, so few rows are ranked.
     """
-    fused = None
-    for query in queries:
-        lists = [(events, "event", 1.0, max(2 * k, 10))] + ([(wiki, "wiki", WIKI_WEIGHT, WIKI_K)] if wiki is not None else [])
-        for df, kind, weight, limit in lists:
-            top = ranking.bm25(df, terms_of(query), key, text).orderBy(F.desc("score"), "doc_id").limit(limit)
-            part = ranking.reciprocal(top, weight, F.desc("score"), F.col("doc_id")).select(F.lit(kind).alias("kind"), F.col("doc_id").alias(key), "part")
+    asked, fused = [terms_of(x) for x in queries], None
+    for df, kind, weight, limit in [(events, "event", 1.0, max(2 * k, 10)), (wiki, "wiki", WIKI_WEIGHT, WIKI_K)]:
+        if df is not None:
+            top = ranking.bm25_many(df, asked, limit, key, text)
+            part = top.select(F.lit(kind).alias("kind"), F.col("doc_id").alias(key), (F.lit(weight) / (ranking.RRF_K + F.col("place") - 1)).alias("part"))
             fused = part if fused is None else fused.unionByName(part)
     return fused.groupBy("kind", key).agg(F.round(F.sum("part"), 5).alias("score"))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def append_vectors(events: DataFrame, path: str, embedder: Embedder, **options)
     spark = events.sparkSession
     try:
         stored = spark.read.parquet(path).where(F.col("space") == embedder.space)
-    except Exception as error:  # noqa: BLE001  no vectors yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+    except AnalysisException as error:  # no vectors yet
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         stored = None
     embedded(pending(events, stored, **options), embedder).write.mode("append").parquet(path)

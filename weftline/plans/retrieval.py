@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import markdown, safety
 from weftline.operators import citations, ranking, retrieval, sampling, vectors
-from weftline.plans.console import query, table
+from weftline.plans.console import BM25_SQL, query, table
 from weftline.plans.store import STORE_SQL, events
+from weftline.session import work_folder
 
 _SPACE = r"[ \t\n\x0b\f\r]+"
 
@@ -109,7 +112,7 @@ t AS (SELECT kind, doc_id, score, CASE WHEN kind = 'event' AND pos <= 10 THEN 0
 o AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, kind, doc_id) AS place, count(*) FILTER (tier = 0) OVER () AS n FROM t WHERE tier IS NOT NULL)
 SELECT place, kind, doc_id, score, substr(text, 1, 200) AS text FROM o JOIN documents USING (doc_id) WHERE place <= greatest(10, n)""")
 def retrieved_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranking.head(_fused(spark, sf_dir), "kind", "score", "doc_id", 10)
+    top = ranking.head(_fused(spark, sf_dir), "kind", "score", "doc_id", 10, short=True)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval.sources(F.broadcast(top).join(docs, "doc_id")).select("place", "kind", "doc_id", "score", "text")
 
@@ -205,3 +208,12 @@ def instruction_lines_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("id", F.concat("text", more).alias("text"))
     out = safety.without_instructions(F.col("text"))
     return rows.select("id", out["text"].alias("kept"), out["dropped"].cast("long").alias("dropped"))
+
+
+@query("indexed_search", BM25_SQL + "SELECT doc_id, round(score, 6) AS score FROM r")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over an index that was written of one language and to which the others were added."""
+    docs, path = table(spark, sf_dir, "documents"), f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
+    ranking.write_index(docs.where("lang = 'en'"), path)
+    ranking.fold_new(docs, path)
+    return ranking.search_index(spark, path, ["idiot", "trash"]).select("doc_id", F.round("score", 6).alias("score"))
