@@ -19,13 +19,13 @@ _SPACE = r"[ \t\n\x0b\f\r]+"
 
 @query(
     "safe_headers",
-    rf"""WITH a AS (SELECT doc_id, replace(replace(regexp_replace(left(text, 400), '[\r\n]', ' ', 'g'), '<', '‹'), '>', '›') AS t FROM documents),
+    rf"""WITH a AS (SELECT doc_id, replace(replace(regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g'), '<', '‹'), '>', '›') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '{safety.ROLE_LINE}', '» \0', 'g') AS t FROM a),
 c AS (SELECT doc_id, trim(regexp_replace(CASE WHEN regexp_matches(t, '{safety.INSTRUCTION_LINE}') THEN '[instruction-like text omitted]' ELSE t END, '{_SPACE}', ' ', 'g')) AS t FROM b)
 SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS meta FROM c""",
 )
 def safe_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", safety.safe_meta(F.substring("text", 1, 400)).alias("meta"))
+    return table(spark, sf_dir, "documents").select("doc_id", safety.safe_meta(F.coalesce("text", F.lit(""))).alias("meta"))
 
 
 @query("instruction_lines_dropped", rf"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{safety.INSTRUCTION_LINE}')), chr(10)) AS kept, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{safety.INSTRUCTION_LINE}'))) AS dropped FROM documents""")
@@ -34,12 +34,12 @@ def instruction_lines_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", out["text"].alias("kept"), out["dropped"].cast("long").alias("dropped"))
 
 
-@query("cited_bullets", """WITH b AS (SELECT conv_id * 1000 + turn AS id, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 200) AS t, turn, conv_id % 5 AS c FROM conversations),
+@query("cited_bullets", """WITH b AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t, turn, conv_id % 5 AS c FROM conversations),
 s AS (SELECT id, list_sort(list_distinct([turn, c])) AS n, trim(t, ' -–—:;,.') AS t, turn, c FROM b)
-SELECT id, CASE WHEN t LIKE '%…' THEN t ELSE t || '.' END AS text, list_filter(n, lambda x: x <= 3) AS n FROM s WHERE t <> '' AND len(list_filter(n, lambda x: x <= 3)) > 0""")
+SELECT id, CASE WHEN length(t) <= 299 THEN t || '.' ELSE rtrim(substr(t || '.', 1, 298)) || ' …' END AS text, list_filter(n, lambda x: x <= 3) AS n FROM s WHERE t <> '' AND len(list_filter(n, lambda x: x <= 3)) > 0""")
 def cited_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bullets that cite a shown number (here 0 to 3), without their closing citation."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.substring(safety.one_line(F.col("text")), 1, 200), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [event: "), (F.col("conv_id") % 5).cast("string"), F.lit("].")).alias("bullet"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(safety.one_line(F.col("text")), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [event: "), (F.col("conv_id") % 5).cast("string"), F.lit("].")).alias("bullet"))
     shown = F.array(*[F.lit(i) for i in range(4)])
     out = rows.select("id", citations.sentence(F.col("bullet")).alias("text"), citations.resting(F.col("bullet"), shown).alias("n"))
     return out.where((F.size("n") > 0) & (F.col("text") != ""))

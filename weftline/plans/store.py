@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.sandbox import console_limit
+from weftline.functions.safety import one_line
 from weftline.functions.text import contains_literal, truncated
-from weftline.functions.times import iso_week, local_day
+from weftline.functions.times import ago, iso_week, local_day, stamp, stamped
 from weftline.operators import digests, ingest, lanes, reduction, replay
 from weftline.plans.console import query, table
 from weftline.sources import transcripts
@@ -455,3 +456,19 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT iso_week, count(*) FILTER (cached AND then_count = event_count) AS reused, count(*) FILTER (NOT (cached AND then_count = event_count) AND attempts >= 3) AS gave_up, count(*) FILTER (NOT (cached AND then_count = event_count) AND attempts < 3) AS todo FROM n GROUP BY 1""")
 def digest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.counters(_digests(spark, sf_dir), "iso_week")
+
+
+@query("live_cards", STORE_SQL + r""", m AS (SELECT max(ts) AS now FROM ev), c AS (SELECT *, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t, date_diff('second', ts, now) AS age FROM ev, m WHERE id % 7 <> 6)
+SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000Z' AS stamp, CASE WHEN age < 60 THEN age || ' s ago' WHEN age < 3600 THEN floor(age / 60 + 0.5::DOUBLE)::BIGINT || ' m ago' ELSE floor(age / 3600 + 0.5::DOUBLE)::BIGINT || ' h ago' END AS ago,
+CASE WHEN length(t) > 160 THEN substr(t, 1, 160) || '…' ELSE t END AS text, CASE WHEN tools = '[]' THEN '' ELSE 'run' END AS tools FROM c""")
+def live_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as cards: stamps of any format read and written anew, those that are none left out, age, one line of text, names of tools."""
+    ev = events(spark, sf_dir)
+    form = lambda x: F.date_format("ts", x)
+    kind = F.col("id") % 7
+    written = F.when(kind == 0, form("yyyy-MM-dd HH:mm:ss.SSS'Z'")).when(kind == 1, form("yyyy-MM-dd HH:mm:ss'Z'")).when(kind == 2, form("yyyy-MM-dd HH:mm:ss.S")).when(kind == 3, form("yyyy-MM-dd HH:mm:ss")).when(kind == 4, form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(kind == 5, F.concat(F.lit(" "), form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n"))).otherwise(form("dd.MM.yyyy HH:mm"))
+    rows = ev.withColumn("ts", stamp(written)).where("ts is not null").join(F.broadcast(ev.agg(F.max("ts").alias("now"))))  # one row
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000
+    line = one_line(F.col("text"))
+    names = F.array_join(F.from_json("tools", "array<string>"), ", ")
+    return rows.select("id", stamped(F.col("ts")).alias("stamp"), ago(age).alias("ago"), F.when(F.length(line) > 160, F.concat(F.substring(line, 1, 160), F.lit("…"))).otherwise(line).alias("text"), names.alias("tools"))
