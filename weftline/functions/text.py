@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where body uses it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_literal(text: Column, part: str) -> Column:
     """Case-insensitive substring; nothing in it is a wildcard."""
     return F.contains(F.lower(text), F.lit(part.lower()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def _add(docs: DataFrame, path: str, number: int, id_col: str, text_col: str) ->
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -83,11 +85,11 @@ def fold_new(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """(doc_id, score) by BM25 over a written index; of the postings only the buckets and row groups of the terms are read."""
-    stats = _committed(spark, path)
-    last = stats.agg(F.max("batch")).first()[0]
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).collect()]
-    hits = spark.read.parquet(f"{path}/postings").where((F.col("batch") <= last) & F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("doc_id", "doc_len", "term", "tf")
-    return _scores(hits, stats.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("counted")).alias("mean")))
+    # a row for each batch: three numbers come to the driver
+    stats = _committed(spark, path).agg(F.max("batch").alias("last"), F.sum("n").alias("n"), (F.sum("words") / F.sum("counted")).alias("mean")).first()
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    hits = spark.read.parquet(f"{path}/postings").where((F.col("batch") <= stats.last) & F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("doc_id", "doc_len", "term", "tf")
+    return _scores(hits, spark.range(1).select(F.lit(stats.n).alias("n"), F.lit(stats["mean"]).cast("double").alias("mean")))
 
 
 def _scores(hits: DataFrame, stats: DataFrame, asked: DataFrame | None = None) -> DataFrame:

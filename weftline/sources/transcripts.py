@@ -129,10 +129,11 @@ def session_id(path: Column) -> Column:
     return F.when((F.length(stem) >= 32) & (dashes >= 4), stem).otherwise(F.concat_ws("@", stem, folder))
 
 
-def origin(path: Column, root: str) -> Column:
+def origin(path: Column, root: str, home: str = "/.claude/projects") -> Column:
     """(project, encoded_dir, tier) of a transcript by where it lies below a root.
 
-    The first folder is the project's directory with slashes written as dashes; deeper files are of subagents.
+    The first folder is the project's directory with slashes written as dashes; deeper files are of subagents.  A root that does
+    not end with `home` is a backup.
     """
     base = root.rstrip("/")
     inside = F.split(F.substring(path, len(base) + 2, 100_000), "/")
@@ -140,7 +141,7 @@ def origin(path: Column, root: str) -> Column:
     decoded = F.when(encoded.startswith("-"), F.translate(encoded, "-", "/")).otherwise(encoded)
     if "/uploads/" in base:
         tier = F.lit("import")
-    elif not base.endswith("/.claude/projects"):
+    elif not base.endswith(home):
         tier = F.lit("backup")
     else:
         tier = F.when(F.size(inside) > 2, "subagent").otherwise("projects")
