@@ -30,6 +30,17 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return words.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(words: Column) -> Column:
+    """[(term, tf)] of an array of words: sorted, so that a word's places are side by side; null for none."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        # a lambda's variable is evaluated once for the array
+        return F.transform(F.array(starts), lambda b: F.transform(b, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("long").alias("tf"))))[0]
+
+    return F.when(F.size(words) > 0, F.transform(F.array(F.sort_array(words)), runs)[0])
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_len) in words."""
     return docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("doc_len"))
@@ -45,12 +56,19 @@ def _committed(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _add(docs: DataFrame, path: str, number: int, id_col: str, text_col: str) -> None:
-    """One batch: postings by term bucket and in term order, its documents, and last its statistics, which commit it."""
+def _add(docs: DataFrame, path: str, number: int, id_col: str, text_col: str, have: DataFrame | None = None) -> None:
+    """One batch, of documents that are not in have (doc_id): postings by term bucket and in term order, its documents, and last its statistics, which commit it.
+
+    A document's words are counted within its row, so the postings are shuffled once, into parts of buckets of a like
+    size. Documents that share id and length have postings of their own; search_index() adds them up.
+    """
     spark = docs.sparkSession
-    hits = postings(docs, id_col, text_col).withColumn("bucket", bucket(F.col("term")))
-    hits.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
-    size = lengths(docs, id_col, text_col)
+    fresh = lambda df: df if have is None else df.join(have, "doc_id", "left_anti")
+    texts = fresh(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    words = texts.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("doc_len"), F.explode(counted(F.col("w"))).alias("x"))
+    hits = words.select("doc_id", "doc_len", "x.term", "x.tf").withColumn("bucket", bucket(F.col("term")))
+    hits.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+    size = fresh(lengths(docs, id_col, text_col))  # the texts stay where they are: ids and lengths are joined
     size.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     stored = spark.read.schema(size.schema).parquet(f"{path}/documents/batch={number}")
     stored.agg(F.count(F.lit(1)).alias("n"), F.count("doc_len").alias("counted"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics/batch={number}")
@@ -78,9 +96,9 @@ def fold_new(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     if stats is None:
         return _add(docs, path, 0, id_col, text_col)
     last = stats.agg(F.max("batch")).first()[0]
-    have = spark.read.parquet(f"{path}/documents").where(F.col("batch") <= last).select(F.col("doc_id").alias(id_col))
-    fresh = docs.join(have, id_col, "left_anti")
-    return None if fresh.isEmpty() else _add(fresh, path, last + 1, id_col, text_col)
+    have = spark.read.parquet(f"{path}/documents").where(F.col("batch") <= last).select("doc_id")
+    none = docs.select(F.col(id_col).alias("doc_id")).join(have, "doc_id", "left_anti").isEmpty()
+    return None if none else _add(docs, path, last + 1, id_col, text_col, have)
 
 
 def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
@@ -88,7 +106,8 @@ def search_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     # a row for each batch: three numbers come to the driver
     stats = _committed(spark, path).agg(F.max("batch").alias("last"), F.sum("n").alias("n"), (F.sum("words") / F.sum("counted")).alias("mean")).first()
     buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-    hits = spark.read.parquet(f"{path}/postings").where((F.col("batch") <= stats.last) & F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("doc_id", "doc_len", "term", "tf")
+    hits = spark.read.parquet(f"{path}/postings").where((F.col("batch") <= stats.last) & F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+    hits = hits.groupBy("batch", "doc_id", "doc_len", "term").agg(F.sum("tf").alias("tf"))
     return _scores(hits, spark.range(1).select(F.lit(stats.n).alias("n"), F.lit(stats["mean"]).cast("double").alias("mean")))
 
 
